@@ -139,11 +139,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """The rows of ``docs`` without all but one of each component: the row with the smallest id stays, of equal ids any one."""
-    whole = materialize(with_fingerprint(docs, text_col, "_fp").withColumn("_row", F.monotonically_increasing_id()), "simhash-whole")
-    slim = whole.select(F.col(id_col).alias("id"), "_fp", "_row")
-    named = components(slim, "id", "_fp", radius)
-    of = slim.join(named, slim["_fp"] == named["fp"])
+    packed = docs.select(F.struct("*").alias("doc"), F.col(text_col).alias("text"), F.col(id_col).alias("id"))
+    whole = with_fingerprint(packed, "text", "own").select("doc", "id", "own", F.monotonically_increasing_id().alias("row"))
+    whole = materialize(whole, "simhash-whole")
+    slim = whole.select("id", "own", "row")
+    of = slim.join(components(slim, "id", "own", radius), F.col("own") == F.col("fp"))
     root = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("?"), F.col("fp").cast("string")))
-    ranked = of.select(root.alias("root"), F.struct(F.col("id").isNull().alias("n"), F.col("id"), F.col("_row").alias("r")).alias("o"))
-    stays = ranked.groupBy("root").agg(F.min("o").alias("o")).select(F.col("o.r").alias("_row"))
-    return whole.join(stays, "_row", "left_semi").select(*docs.columns)
+    ranked = of.select(root.alias("root"), F.struct(F.col("id").isNull().alias("n"), "id", "row").alias("o"))
+    stays = ranked.groupBy("root").agg(F.min("o").alias("o")).select(F.col("o.row").alias("row"))
+    return whole.join(stays, "row", "left_semi").select("doc.*")
