@@ -81,27 +81,29 @@ def pivotal(size: np.ndarray, p: np.ndarray, seed: int) -> np.ndarray:
 
 
 def _settle(w: list[float], out: list[float], i: int, r: np.random.Generator) -> None:
-    """Hands the residual on to ever smaller entries: ``i`` goes up by what it takes from an entry at 1, or down by what it gives to one at 0, the smallest with room."""
+    """Hands the residual on to ever smaller entries: ``i`` goes up by what it takes from entries at 1, or down by what it gives to entries at 0: the smallest with room, or the largest where none has room."""
     if i < 0:
         return
     up = sorted((w[j], j) for j in range(len(w)) if out[j] == 1 and 0 < w[j] < w[i])
     down = sorted((w[j], j) for j in range(len(w)) if out[j] == 0 and 0 < w[j] < w[i])
-    while 0 < out[i] < 1:
-        rise = r.random() < out[i]
-        for rise in (rise, not rise):  # noqa: B020, PLW2901
-            words = (1 - out[i] if rise else out[i]) * w[i]
-            pool = up if rise else down
-            at = bisect.bisect_left(pool, (words, -1))
-            if at < len(pool) and pool[at][0] < w[i]:
-                break
-        else:
+    rise = r.random() < out[i]
+    while True:
+        words, pool = (1 - out[i] if rise else out[i]) * w[i], up if rise else down
+        at = bisect.bisect_left(pool, (words, -1))
+        while pool and pool[-1][0] >= w[i]:
+            pool.pop()
+        if not pool:
             return
-        room, j = pool.pop(at)
+        room, j = pool.pop(min(at, len(pool) - 1))
+        if room < words:  # not enough: all of it goes, and the next follows
+            out[j] = 0 if rise else 1
+            out[i] += room / w[i] if rise else -room / w[i]
+            continue
         out[i], out[j] = (1, 1 - words / room) if rise else (0, words / room)
         if abs(out[j] - round(out[j])) < 1e-9:
             out[j] = round(out[j])
             return
-        i = j
+        i, rise = j, r.random() < out[j]
 
 
 _FIELDS = "row long, id long, source string, size long, whole long, p double, shard long"
