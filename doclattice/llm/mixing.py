@@ -121,6 +121,10 @@ def _round(table: pa.Table, last: bool) -> pa.Table:
     return table.set_column(table.schema.get_field_index("p"), "p", pa.array(p))
 
 
+def _rounding(last: bool):
+    return lambda table: _round(table, last)
+
+
 def copies(docs: DataFrame, row_col: str, id_col: str, source_col: str, size_col: str, leaf: int = LEAF, fan: int = FAN) -> DataFrame:
     """``row, copies, source_size, target`` and the given columns for every row of ``docs`` (which must be cheap to read several times)."""
     slim = docs.select(F.col(row_col).alias("row"), F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), F.col(size_col).cast("long").alias("size"))
@@ -132,14 +136,13 @@ def copies(docs: DataFrame, row_col: str, id_col: str, source_col: str, size_col
     shards = F.ceil(F.col("docs") / leaf)
     leaves = rated.withColumn("shard", F.pmod(F.xxhash64("id", "size", "row"), shards)).select("row", "id", "source", "size", "whole", "p", "shard")
     most = goals.agg(F.max(F.ceil(F.col("docs") / leaf))).first()[0] or 1
-    level = materialize(leaves.groupBy("source", "shard").applyInArrow(lambda t: _round(t, most <= 1), _FIELDS), "rounded")
+    level = materialize(leaves.groupBy("source", "shard").applyInArrow(_rounding(most <= 1), _FIELDS), "rounded")
     open_ = "p > 0 and p < 1"
     done = level.where(f"not ({open_})")
     while most > 1:
         most = -(-most // fan)
-        last = most <= 1
         up = level.where(open_).withColumn("shard", F.floor(F.col("shard") / fan))
-        level = materialize(up.groupBy("source", "shard").applyInArrow(lambda t, last=last: _round(t, last), _FIELDS), "residuals")
+        level = materialize(up.groupBy("source", "shard").applyInArrow(_rounding(most <= 1), _FIELDS), "residuals")
         done = done.unionByName(level.where(f"not ({open_})"))
     taken = done.select("row", "id", "source", "size", (F.col("whole") + F.col("p").cast("long")).alias("copies"), key(F.col("source")).alias("k"))
     return taken.join(goals.select(key(F.col("source")).alias("k"), "source_size", "target"), "k").drop("k")
