@@ -49,10 +49,10 @@ def q_dispatch(spark, sf_dir):
 @query("job_admission", f"""WITH RECURSIVE {JOB_EVENTS_SQL}, a AS (SELECT job_id % 16 AS host, seq, state = 'queued' AS sub, row_number() OVER (PARTITION BY job_id % 16 ORDER BY seq) AS rn FROM job_events WHERE state IN ('queued', 'complete')),
 s AS (SELECT host, seq, rn, sub, CASE WHEN sub THEN 1 ELSE 0 END AS open, CASE WHEN sub THEN true END AS accepted FROM a WHERE rn = 1
  UNION ALL SELECT a.host, a.seq, a.rn, a.sub, CASE WHEN a.sub THEN CASE WHEN s.open < 6 THEN s.open + 1 ELSE s.open END ELSE greatest(0, s.open - 1) END, CASE WHEN a.sub THEN s.open < 6 END FROM s JOIN a ON a.host = s.host AND a.rn = s.rn + 1)
-SELECT host, seq, accepted FROM s""")
+SELECT host, seq, accepted FROM s WHERE sub""")
 def q_admission(spark, sf_dir):
     arrivals = job_events(spark, sf_dir).where("state in ('queued', 'complete')").select((F.col("job_id") % 16).alias("host"), "seq", F.when(F.col("state") == "queued", "submit").otherwise("finish").alias("kind"))
-    return J.admitted(arrivals, ["seq"], ["host"]).select("host", "seq", "accepted")
+    return J.admitted(arrivals, ["seq"], ["host"]).where("kind = 'submit'").select("host", "seq", "accepted")
 
 
 @query("job_ttl_expire", f"WITH {_LATEST}, n AS (SELECT max(ts) AS now FROM events) SELECT job_id, status FROM jobs, n WHERE NOT coalesce(status IN ('complete', 'error') AND completed_at < now - INTERVAL 3600 SECOND, false)")
@@ -153,10 +153,10 @@ def q_service(spark, sf_dir):
     return J.validate_service_requests(rows, replace(DEFAULT, service_texts=5, service_chars=3000)).select("conv_id", "accepted")
 
 
-@query("catalog_options", """SELECT 'llm' AS engine, p_brand || p_partkey AS value, p_name AS label, p_partkey % 3 = 0 AS installed FROM part""")
+@query("catalog_options", """SELECT 'llm' AS engine, p_brand || '-' || p_partkey AS value, p_name AS label, p_partkey % 3 = 0 AS installed FROM part""")
 def q_catalog(spark, sf_dir):
     part = table(spark, sf_dir, "part")
-    value = F.concat("p_brand", F.col("p_partkey").cast("string"))
+    value = F.concat("p_brand", F.lit("-"), F.col("p_partkey").cast("string"))
     options = part.select(F.lit("llm").alias("engine"), value.alias("value"), F.col("p_name").alias("label"))
     replies = part.where("p_partkey % 3 = 0").select(F.to_json(F.struct(F.array(F.struct(value.alias("name")), F.struct(F.lit("").alias("name"))).alias("models"))).alias("value"))
     return J.catalog_options(options, S.installed_models(replies))

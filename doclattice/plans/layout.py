@@ -180,10 +180,10 @@ def q_equation(spark, sf_dir):
     return _varied(spark, sf_dir).select("doc_id", "chunk_no", is_equationish(F.col("text")).alias("equation"))
 
 
-@query("translatable_regions", f"""{_VARIED}, s AS (SELECT doc_id, chunk_no, trim(text) AS t, 20.0 * (chunk_no % 20) AS top, 100.0 + 30 * (chunk_no % 3) AS x1 FROM v)
-SELECT doc_id, chunk_no, NOT (NOT regexp_matches(t, '[A-Za-z]') OR contains(t, '(cid:') OR contains(t, '@') OR regexp_matches(lower(t), '^(http://|https://|arxiv:)') OR (regexp_matches(t, 'https?://') AND len({_W.replace('@t@', 't')}) <= 4)
-  OR contains(lower(t), 'all rights reserved') OR starts_with(t, '©') OR (top < 180 AND regexp_full_match(t, '[A-Z][A-Za-z0-9,.\\-* ]{{1,60}}') AND len(string_split(trim(regexp_replace(t, '\\s+', ' ', 'g')), ' ')) <= 2)
-  OR {_AUTHOR.replace('@t@', 't')} OR {_EQUATION.replace('@t@', 't')} OR (len({_W.replace('@t@', 't')}) < 2 AND len(t) < 3) OR (x1 - 72 < 612 * 0.06 AND len(t) > 24)) AS translatable FROM s""")
+@query("translatable_regions", f"""{_VARIED}, s AS (SELECT doc_id, chunk_no, trim(text) AS tt, 20.0 * (chunk_no % 20) AS top, 100.0 + 30 * (chunk_no % 3) AS x1 FROM v)
+SELECT doc_id, chunk_no, NOT (NOT regexp_matches(tt, '[A-Za-z]') OR contains(tt, '(cid:') OR contains(tt, '@') OR regexp_matches(lower(tt), '^(http://|https://|arxiv:)') OR (regexp_matches(tt, 'https?://') AND len({_W.replace('@t@', 'tt')}) <= 4)
+  OR contains(lower(tt), 'all rights reserved') OR starts_with(tt, '©') OR (top < 180 AND regexp_full_match(tt, '[A-Z][A-Za-z0-9,.\\-* ]{{1,60}}') AND len(string_split(trim(regexp_replace(tt, '\\s+', ' ', 'g')), ' ')) <= 2)
+  OR {_AUTHOR.replace('@t@', 'tt')} OR {_EQUATION.replace('@t@', 'tt')} OR (len({_W.replace('@t@', 'tt')}) < 2 AND len(tt) < 3) OR (x1 - 72 < 612 * 0.06 AND len(tt) > 24)) AS translatable FROM s""")
 def q_translatable(spark, sf_dir):
     v = _varied(spark, sf_dir)
     top, x1 = 20.0 * (F.col("chunk_no") % 20), 100.0 + 30 * (F.col("chunk_no") % 3)

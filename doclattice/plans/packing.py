@@ -168,9 +168,9 @@ def q_sentences(spark, sf_dir):
     return docs.select("doc_id", F.posexplode(sentence_pieces(F.col("text"), 64)).alias("piece_no", "piece"))
 
 
-@query("zip_fallback", """SELECT doc_id, CASE WHEN trim(t) = '' THEN s ELSE t END AS text FROM (SELECT doc_id, text AS s, CASE WHEN doc_id % 3 = 0 THEN '  ' ELSE upper(text) END AS t FROM documents)""")
+@query("zip_fallback", """SELECT doc_id, CASE WHEN trim(t) = '' THEN s ELSE t END AS text FROM (SELECT doc_id, text AS s, CASE WHEN doc_id % 3 = 0 THEN '  ' ELSE 'T: ' || text END AS t FROM documents)""")
 def q_zip(spark, sf_dir):
-    t = F.when(F.col("doc_id") % 3 == 0, "  ").otherwise(F.upper("text"))
+    t = F.when(F.col("doc_id") % 3 == 0, "  ").otherwise(F.concat(F.lit("T: "), F.col("text")))
     docs = table(spark, sf_dir, "documents").select("doc_id", F.array("text").alias("s"), F.array(t).alias("t"))
     return docs.select("doc_id", F.zip_with("s", "t", lambda s, t: F.when(F.trim(t) == "", s).otherwise(t))[0].alias("text"))
 

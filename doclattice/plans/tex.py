@@ -11,13 +11,13 @@ from .registry import query
 
 _WORTH = r"(len(regexp_extract_all({t}, '[A-Za-z]')) >= 3 AND len(regexp_extract_all({t}, '\\[a-zA-Z@]+')) < greatest(6, len(regexp_extract_all({t}, '[A-Za-z]')) // 8))"
 # a text of the plain kind, for which neither back-references nor environments matter
-_RICH = r"""rich AS (SELECT doc_id, text[1:200] || ' see $x_' || doc_id || '$ and \cite{a' || doc_id || '} or \textbf{b} \% end' AS t FROM documents)"""
+_RICH = r"""rich AS (SELECT doc_id, replace(text, '$', '')[1:200] || ' see $x_' || doc_id || '$ and \cite{a' || doc_id || '} or \textbf{b} \% end' AS t FROM documents)"""
 _SIMPLE = r"(\$[^$]*\$)|(\\[a-zA-Z@]+\*?(?:\s*\[[^\[\]]*\])?(?:\s*\{[^{}]*\})*)|(\\.)"
 
 
 def _rich(spark, sf_dir):
     n = F.col("doc_id").cast("string")
-    t = F.concat(F.substring("text", 1, 200), F.lit(" see $x_"), n, F.lit("$ and \\cite{a"), n, F.lit("} or \\textbf{b} \\% end"))
+    t = F.concat(F.substring(F.replace("text", F.lit("$"), F.lit("")), 1, 200), F.lit(" see $x_"), n, F.lit("$ and \\cite{a"), n, F.lit("} or \\textbf{b} \\% end"))
     return table(spark, sf_dir, "documents").select("doc_id", t.alias("t"))
 
 
@@ -58,12 +58,12 @@ def q_artifacts(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", has_placeholder_artifact(out, "DOCLATTICE").alias("artifact"))
 
 
-_COMMENTED = r"replace(text, ' th', ' \% % note th')"
+_COMMENTED = r"replace(replace(text, '%', ''), ' th', ' \% % note th')"
 
 
 @query("tex_comments", rf"""SELECT doc_id, len(string_split(text, chr(10)))::INT AS n_lines, len(list_filter(string_split(text, chr(10)), lambda x: contains(x, ' th')))::INT AS n_comments, {_COMMENTED} AS restored FROM documents""")
 def q_comments(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.replace("text", F.lit(" th"), F.lit(" \\% % note th")).alias("t"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.replace(F.replace("text", F.lit("%"), F.lit("")), F.lit(" th"), F.lit(" \\% % note th")).alias("t"))
     hidden = docs.select("doc_id", X.protect_comments(F.col("t")).alias("c"))
     return hidden.select("doc_id", F.size(F.split("c.text", "\n")).alias("n_lines"), F.size("c.comments").alias("n_comments"), X.restore_comments(F.col("c.text"), F.col("c.comments")).alias("restored"))
 

@@ -13,7 +13,7 @@ def parse_int(c: Column) -> Column:
 
 def gpu_samples(lines: DataFrame, line: str = "value") -> DataFrame:
     """``name, total, used, free, utilisation`` lines; lines with another number of fields go."""
-    parts = F.transform(F.split(line, ","), F.trim)
+    parts = F.transform(F.split(line, ","), lambda x: F.trim(x))
     rows = lines.select(parts.alias("p")).where("size(p) = 5")
     names = ["memory_total_mb", "memory_used_mb", "memory_free_mb", "utilization_percent"]
     return rows.select(F.col("p")[0].alias("name"), *[parse_int(F.col("p")[i + 1]).alias(n) for i, n in enumerate(names)])
