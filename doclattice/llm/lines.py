@@ -1,12 +1,14 @@
 """Line dedup by MinHash over character shingles [native: SQL functions only].
 
-Lines are told apart exactly first; the rest is about different lines. A signature takes the smallest and
-largest of ``PERMS`` exclusive-or permutations of the shingles' hashes, over the shingles that start after anything
-but an ASCII letter (a choice that depends on content alone, so equal passages choose alike). Bands of ``ROWS`` values make candidates;
-within a bucket each line is verified against the bucket's first line, and lines that fail are
-grouped again among themselves until none is left, so a bucket of n lines costs about n checks instead of n * n.
-Verification is the exact Jaccard similarity of the sets of all shingles of the two lines. Components of
-the verified links keep one line: the first by (document id, place).
+Lines are told apart exactly first; the rest is about different lines. A line's signature is the bottom-k form of MinHash: the
+``SKETCH`` smallest hashes of its shingles, over the shingles that start after anything but an ASCII letter (a choice that
+depends on content alone, so equal passages choose alike). Each run of ``RUNS[0]`` hashes in the sorted sketch is a
+band; lines that share a band are candidates. At similarity 0.8 a pair shares a band with probability 0.98, at 0.9 above 0.999.
+Within a bucket every line meets the bucket's head, the line whose bands are the most shared (the original among edited copies, as a rule): pairs whose
+sketches agree in half or more are verified by the exact Jaccard similarity of the sets of all shingles. Lines that no head
+took are grouped again, among themselves, by longer runs. So a bucket of n lines costs n checks a round instead of n * n; a pair that shares
+bands is missed only where heads unlike both stand before it in all of them and in all rounds. Components of the verified links
+keep one line: the first by (document id, place).
 
 Defined cases: a null text counts as empty and stays null; blank lines are no lines of this kind and stay; a line shorter than a
 shingle is one shingle; a line of any length is read whole; repeated rows (same id and text) keep their lines once, in one
@@ -21,34 +23,38 @@ from pyspark.sql import functions as F
 
 from .shared import connected_components, materialize
 
-SHINGLE, PERMS, ROWS, SIMILARITY = 10, 16, 4, 0.8
-#: A multiplicative step between the permutations' constants (2**64 / golden ratio, made odd).
-STEP = 0x9E3779B97F4A7C15
+SHINGLE, SKETCH, SIMILARITY, ALIKE = 12, 12, 0.8, 6
+#: Lengths of the runs that make bands, by round.
+RUNS = (3, 4, 6)
 
 
-def _constant(i: int) -> int:
-    x = (i * STEP + STEP // 3) % 2**64
-    x ^= x >> 29
-    return (x * 0xBF58476D1CE4E5B9 % 2**64) >> 1
-
-
-def bands(lines: DataFrame, line_col: str, out: str, shingle: int = SHINGLE, perms: int = PERMS, rows: int = ROWS) -> DataFrame:
-    """Adds ``out``: ``2 * perms / rows`` band hashes of the line's MinHash signature."""
+def sketches(lines: DataFrame, line_col: str, out: str, shingle: int = SHINGLE, sketch: int = SKETCH) -> DataFrame:
+    """Adds ``out``: the smallest shingle hashes of each line, ascending. A line without a whole shingle has its own hash."""
     names = [F.col(c) for c in lines.columns if c != out]
     plain = [c for c in lines.columns if c != out]
     some = f"regexp_extract_all({line_col}, '(?s)(?<![A-Za-z])(?=(.{{{shingle}}}))', 1)"
-    hashed = lines.select(*names, F.expr(f"transform({some}, s -> xxhash64(s))").alias("_h"))
-    hashed = hashed.select(*plain, F.expr(f"if(size(_h) = 0, array(xxhash64({line_col})), _h)").alias("_h"))
-    mixed = hashed.select(*plain, *[F.expr(f"transform(_h, h -> h ^ {_constant(i)})").alias(f"_p{i}") for i in range(perms)])
-    values = [f"{f}(_p{i})" for f in ("array_min", "array_max") for i in range(perms)]
-    each = [f"xxhash64({at}, {', '.join(values[at:at + rows])})" for at in range(0, len(values), rows)]
-    return mixed.select(*plain, F.expr(f"array({', '.join(each)})").alias(out))
+    hashed = lines.select(*names, F.expr(f"sort_array(transform({some}, s -> xxhash64(s)))").alias("_h"))
+    return hashed.select(*plain, F.expr(f"if(size(_h) = 0, array(xxhash64({line_col})), slice(array_distinct(_h), 1, {sketch}))").alias(out))
+
+
+def bands(sketch: str, run: int) -> Column:
+    """Band hashes: one for each run of the sketch; a shorter sketch is one band."""
+    members = ", ".join(f"{sketch}[i + {j}]" for j in range(run))
+    each = f"transform(sequence(0, greatest(size({sketch}) - {run}, 0)), i -> xxhash64({run}, {members}))"
+    return F.expr(f"if(size({sketch}) < {run}, array(xxhash64({run}, {sketch})), {each})")
 
 
 def jaccard(a: str, b: str, shingle: int = SHINGLE) -> Column:
-    """Exact Jaccard similarity of the shingle sets of two lines."""
-    sets = [f"array_distinct(if(char_length({x}) < {shingle}, array({x}), regexp_extract_all({x}, '(?s)(?=(.{{{shingle}}})).', 1)))" for x in (a, b)]
-    return F.expr(f"transform(array(struct({sets[0]} as x, {sets[1]} as y)), s -> size(array_intersect(s.x, s.y)) / (size(s.x) + size(s.y) - size(array_intersect(s.x, s.y))))[0]")
+    """Exact Jaccard similarity of the shingle sets of two lines (shingles by their 64-bit hashes)."""
+    sets = [f"array_distinct(if(char_length({x}) < {shingle}, array(xxhash64({x})), transform(regexp_extract_all({x}, '(?s)(?=(.{{{shingle}}})).', 1), s -> xxhash64(s))))" for x in (a, b)]
+    return F.expr(f"transform(array(struct({sets[0]} as x, {sets[1]} as y)), s -> transform(array(size(array_intersect(s.x, s.y))), c -> c / (size(s.x) + size(s.y) - c))[0])[0]")
+
+
+def alike(a: str, b: str, least: int = ALIKE, sketch: int = SKETCH) -> Column:
+    """Whether ``least`` of the smallest hashes of both sketches together (fewer for short sketches) are in both."""
+    n = f"least({sketch}, size({a}), size({b}))"
+    low = f"slice(array_sort(array_union({a}, {b})), 1, {n})"
+    return F.expr(f"size(array_intersect({low}, array_intersect({a}, {b}))) * {sketch} >= {least} * {n}")
 
 
 def _key(id_col: str) -> Column:
@@ -65,25 +71,23 @@ def first_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     own = _identified(docs, id_col, text_col)
     lines = own.select("id", "th", F.posexplode(F.split("t", "\n")).alias("no", "line")).where(r"line rlike '\\S'")
     place = F.struct(F.col("id").alias("id"), F.col("no").alias("no"), F.col("th").alias("th"))
-    ready = bands(lines.select(place.alias("place"), F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), "line"), "line", "bands").drop("line")
-    distinct = ready.groupBy("h1", "h2").agg(F.min(F.struct("place", "bands")).alias("f")).select("f.place", "f.bands")
+    ready = sketches(lines.select(place.alias("place"), F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), "line"), "line", "sketch").drop("line")
+    distinct = ready.groupBy("h1", "h2").agg(F.min(F.struct("place", "sketch")).alias("f")).select("f.place", "f.sketch")
     known = materialize(distinct.withColumn("uid", F.monotonically_increasing_id()), "lines")
 
-    found = None
-    open_ = known.select("uid", F.explode("bands").alias("band"))
-    shared = materialize(open_.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("band"))).where("n > 1").select("uid", "band"), "line-buckets")
-    texts = _line_texts(shared.select("uid").distinct().join(known.select("uid", "place"), "uid"), own)
-    texts = materialize(texts, "line-texts")
-    while shared.take(1):
-        heads = shared.groupBy("band").agg(F.min("uid").alias("head"))
-        member = materialize(shared.join(heads, "band").where("uid <> head"), "line-members")
-        pairs = member.select("uid", "head").distinct()
-        a, b = texts.select("uid", F.col("line").alias("x")), texts.select(F.col("uid").alias("head"), F.col("line").alias("y"))
-        close = pairs.join(a, "uid").join(b, "head").where(jaccard("x", "y") >= similarity).select("uid", "head")
-        close = materialize(close, "line-links")
+    found, rest, texts, buckets = None, known.select("uid", "sketch"), None, None
+    for run in RUNS:
+        buckets = _together(rest.select("uid", F.explode(bands("sketch", run)).alias("band")))
+        if texts is None:
+            wanted = known.join(buckets.select("uid").distinct(), "uid")
+            texts = materialize(_line_texts(wanted.select("uid", "place", "sketch"), own), "line-texts")
+        shared = F.struct(F.sum("n").over(W.partitionBy("uid")).alias("n"), (-F.col("uid")).alias("u"))
+        heads = buckets.withColumn("shared", shared).groupBy("band").agg(F.max("shared").alias("h")).select("band", (-F.col("h.u")).alias("head"))
+        close = _verified(buckets.select("uid", "band").join(heads, "band").where("uid <> head").select("uid", "head").distinct(), texts, similarity)
         found = close if found is None else found.unionByName(close)
-        left = member.join(close, ["uid", "head"], "left_anti").select("uid", "band")
-        shared = materialize(left.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("band"))).where("n > 1").select("uid", "band"), "line-buckets")
+        linked = close.select("uid").union(close.select("head")).distinct()
+        open_ = buckets.select("uid").distinct().join(linked, "uid", "left_anti")
+        rest = materialize(texts.join(open_, "uid").select("uid", "sketch"), "line-rest")
 
     grouped = known.select("place", F.col("uid").alias("root"))
     if found is not None:
@@ -93,11 +97,25 @@ def first_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return grouped.select("place.id", "place.th", "place.no").groupBy("id", "th").agg(F.sort_array(F.collect_list("no")).alias("keep"))
 
 
+def _together(members: DataFrame) -> DataFrame:
+    """The members (uid, band) of bands that two or more share, with the number that share it; written."""
+    n = F.count(F.lit(1)).over(W.partitionBy("band"))
+    return materialize(members.select("uid", "band").withColumn("n", n).where("n > 1"), "line-buckets")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (uid, head) whose lines are as similar as asked; written."""
+    a = texts.select("uid", F.col("line").alias("x"), F.col("sketch").alias("sx"))
+    b = texts.select(F.col("uid").alias("head"), F.col("line").alias("y"), F.col("sketch").alias("sy"))
+    met = pairs.join(a, "uid").join(b, "head").where(alike("sx", "sy") & (jaccard("x", "y") >= similarity))
+    return materialize(met.select("uid", "head"), "line-links")
+
+
 def _line_texts(wanted: DataFrame, own: DataFrame) -> DataFrame:
-    """``uid, line`` for ``wanted(uid, place)``: texts are met once, by (id, hash of text)."""
-    per = wanted.groupBy(F.col("place.id").alias("id"), F.col("place.th").alias("th")).agg(F.collect_list(F.struct("place.no", "uid")).alias("want"))
+    """``uid, line, sketch`` for ``wanted(uid, place, sketch)``: texts are met once, by (id, hash of text)."""
+    per = wanted.groupBy(F.col("place.id").alias("id"), F.col("place.th").alias("th")).agg(F.collect_list(F.struct("place.no", "uid", "sketch")).alias("want"))
     met = own.join(per, ["id", "th"]).select(F.split("t", "\n").alias("all"), F.explode("want").alias("w"))
-    return met.select("w.uid", F.expr("all[w.no]").alias("line")).dropDuplicates(["uid"])
+    return met.select("w.uid", F.expr("all[w.no]").alias("line"), "w.sketch").dropDuplicates(["uid"])
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, lines_out: str = "n_lines", kept_out: str = "n_kept") -> DataFrame:
