@@ -103,6 +103,7 @@ def test_archives(spark):
 
 
 def test_stream_equals_batch(spark, sf_dir, tmp_path):
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")  # else time-outs are looked for without end
     events = job_events(spark, sf_dir).select("job_id", "seq", "state", "percent")
     for i in range(3):
         events.where(F.col("seq") % 3 == i).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
