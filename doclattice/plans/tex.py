@@ -51,7 +51,7 @@ def q_unsafe(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", is_unsafe(raw, held, out, "DOCLATTICE").alias("unsafe"))
 
 
-@query("tex_artifacts", r"""SELECT doc_id, regexp_matches(out, '(?i)__|TEX[\s_-]*\d+|DOCLATTICE|readablelocalcomment|読みやすい|リーダブル') AS artifact FROM (SELECT doc_id, text[1:80] || CASE doc_id % 3 WHEN 0 THEN ' vertex 0' WHEN 1 THEN '' ELSE ' a__b' END AS out FROM documents)""")
+@query("tex_artifacts", r"""SELECT doc_id, regexp_matches(out, '(?i)__|TEX[\s_-]*\d+|DOCLATTICE|doclatticecomment') AS artifact FROM (SELECT doc_id, text[1:80] || CASE doc_id % 3 WHEN 0 THEN ' vertex 0' WHEN 1 THEN '' ELSE ' a__b' END AS out FROM documents)""")
 def q_artifacts(spark, sf_dir):
     n = F.col("doc_id") % 3
     out = F.concat(F.substring("text", 1, 80), F.when(n == 0, " vertex 0").when(n == 1, "").otherwise(" a__b"))
