@@ -32,7 +32,8 @@ def sketches(lines: DataFrame, line_col: str, out: str, shingle: int = SHINGLE,
     """Adds ``out``: the smallest shingle hashes of each line, ascending. A line without a whole shingle has its own hash."""
     names = [F.col(c) for c in lines.columns if c != out]
     plain = [c for c in lines.columns if c != out]
-    some = f"regexp_extract_all({line_col}, '(?s)(?<![A-Za-z])(?=(.{{{shingle}}}))', 1)"
+    # a blank before the line stands for its start
+    some = f"regexp_extract_all(concat(' ', {line_col}), '(?s)[^A-Za-z](?=(.{{{shingle}}}))', 1)"
     hashed = lines.select(*names, F.expr(f"sort_array(transform({some}, s -> xxhash64(s)))").alias("_h"))
     return hashed.select(*plain, F.expr(f"if(size(_h) = 0, array(xxhash64({line_col})), slice(array_distinct(_h), 1, {sketch}))").alias(out))
 
