@@ -17,22 +17,19 @@ from ..functions.text import clean_lines, is_blank, strip
 PAGE = ["doc_id", "page_no"]
 
 
-def _per_page(df: DataFrame) -> DataFrame:
-    return df.repartition(*PAGE)
-
-
 def assign_lines(words: DataFrame, keys: list[str] = PAGE, settings: Settings = DEFAULT) -> DataFrame:
     """Adds ``line_no``, from 0: a word starts a line when its top is more than the tolerance below the line's first word.
 
     A fold over the distinct tops of a page finds the lines' first tops (a window over the previous word would chain
-    words that drift); a word's line is the number of first tops not below it.
+    words that drift); a word's line is the number of first tops not below it. A page's words are one row for the fold and rows
+    again after it, still dealt by page, so this exchange is the only one.
     """
-    tops = words.groupBy(*keys).agg(F.sort_array(F.collect_set("top")).alias("_tops"))
+    rest = [c for c in words.columns if c not in keys]
+    page = words.groupBy(*keys).agg(F.collect_list(F.struct(*rest)).alias("_words"), F.sort_array(F.collect_set("top")).alias("_tops"))
     none = F.array().cast("array<double>")
     anchors = F.aggregate("_tops", none, lambda acc, t: F.when(F.size(acc) == 0, F.array(t)).when(t - F.try_element_at(acc, F.lit(-1)) > settings.line_tolerance, F.concat(acc, F.array(t))).otherwise(acc))
-    starts = tops.select(*keys, anchors.alias("_anchors"))
-    met = words.join(starts, keys)
-    return met.withColumn("line_no", F.size(F.filter("_anchors", lambda a: a <= F.col("top"))) - 1).drop("_anchors")
+    placed = page.select(*keys, "_words", anchors.alias("_anchors")).select(*keys, "_anchors", F.explode("_words").alias("_w")).select(*keys, "_anchors", "_w.*")
+    return placed.withColumn("line_no", F.size(F.filter("_anchors", lambda a: a <= F.col("top"))) - 1).drop("_anchors")
 
 
 def split_segments(lined: DataFrame, keys: list[str] = PAGE, split_gaps: bool = True, settings: Settings = DEFAULT) -> DataFrame:
@@ -106,7 +103,7 @@ def regions(grouped: DataFrame, width: float, height: float) -> DataFrame:
 
 def layout_regions(words: DataFrame, width: float, height: float) -> DataFrame:
     """Upright words to regions; pages in Japanese or of unmapped glyphs keep all their regions."""
-    lines = words_to_lines(_per_page(upright(words)))
+    lines = words_to_lines(upright(words))
     whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "seg_no", "text"))), lambda x: x["text"]), " ")
     kept = lines.groupBy(*PAGE).agg(whole.alias("page_text")).select(*PAGE, should_preserve(F.col("page_text")).alias("preserve"))
     found = regions(group_regions(visible_lines(lines, width, height), width), width, height)
@@ -132,28 +129,44 @@ def _blocks(lines: DataFrame, rank: Column) -> DataFrame:
     return each.groupBy(*PAGE).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_rank", "block"))), lambda x: x["block"]), "\n\n").alias("text"))
 
 
+def _two_columns(lines: DataFrame, width: float) -> Column:
+    """The flag of a line's page, as a window that needs no join."""
+    page, center = W.partitionBy(*PAGE), (F.col("x0") + F.col("x1")) / 2
+    left, right = F.count_if(center < width / 2).over(page), F.count_if(center >= width / 2).over(page)
+    return (left >= 4) & (right >= 2) & (F.least(left, right) / (left + right) > 0.15)
+
+
 def column_order_text(lines: DataFrame, width: float) -> DataFrame:
     """A page's lines by top; left column before right where the page has two."""
     center = (F.col("x0") + F.col("x1")) / 2
-    flagged = lines.join(two_column_pages(lines, width), PAGE)
+    flagged = lines.withColumn("two_column", _two_columns(lines, width))
     return _blocks(flagged, F.when(F.col("two_column") & (center >= width / 2), 1).otherwise(0))
 
 
 def column_word_text(words: DataFrame, width: float) -> DataFrame:
-    """Header lines, then the words left of the middle as lines, then those right of it."""
-    headers = header_lines(words_to_lines(words, split_gaps=False), width)
-    body = without_headers(words, headers).withColumn("side", F.when(F.col("x0") < width / 2, 1).otherwise(2))
-    sides = words_to_lines(body, [*PAGE, "side"], split_gaps=False)
-    both = headers.withColumn("side", F.lit(0)).unionByName(sides)
-    return _blocks(both, F.col("side"))
+    """Header lines, then the words left of the middle as lines, then those right of it.
+
+    Headers and what lies beside them are marked by windows within the page; ``header_lines`` and ``without_headers`` say the same as joins.
+    """
+    lined = assign_lines(words)
+    line, page = W.partitionBy(*PAGE, "line_no"), W.partitionBy(*PAGE)
+    boxed = lined.withColumn("_top", F.min("top").over(line)).withColumn("_x0", F.min("x0").over(line)).withColumn("_x1", F.max("x1").over(line))
+    head = (F.col("_top") <= F.min("_top").over(page) + 28) & (F.col("_x0") < width * 0.25) & (F.col("_x1") > width * 0.55)
+    marked = boxed.withColumn("_head", head)
+    tops = F.collect_set(F.when(F.col("_head"), F.col("_top"))).over(page)
+    marked = marked.withColumn("_tops", tops).withColumn("_beside", F.exists("_tops", lambda t: F.abs(F.col("top") - t) <= 3))
+    plain = [*words.columns]
+    headers = segment_boxes(marked.where("_head").select(*plain, "line_no", F.lit(0).alias("seg_no"))).withColumn("side", F.lit(0))
+    body = marked.where("not _beside").select(*plain, F.when(F.col("x0") < width / 2, 1).otherwise(2).alias("side"))
+    return _blocks(headers.unionByName(words_to_lines(body, [*PAGE, "side"], split_gaps=False)), F.col("side"))
 
 
 def page_text(words: DataFrame, width: float) -> DataFrame:
     """Text per page: two-column pages by words, others by lines; cleaned."""
-    words = _per_page(words)
-    flags = two_column_pages(words_to_lines(words), width)
-    two = column_word_text(words.join(flags.where("two_column"), PAGE, "left_semi"), width)
-    one = column_order_text(words_to_lines(words.join(flags.where("not two_column"), PAGE, "left_semi")), width)
+    lines = words_to_lines(words)
+    flagged = lines.withColumn("two_column", _two_columns(lines, width))
+    one = _blocks(flagged.where("not two_column"), F.lit(0))
+    two = column_word_text(words.join(flagged.where("two_column").select(*PAGE).distinct(), PAGE, "left_semi"), width)
     return two.unionByName(one).select(*PAGE, clean_lines(F.col("text")).alias("source_text"))
 
 

@@ -34,7 +34,7 @@ _BOXES = """boxes AS (SELECT doc_id, page_no, bucket, flow, string_agg(text, ' '
 
 
 def _words(spark, sf_dir):
-    return words(spark, sf_dir).repartition("doc_id", "page_no")
+    return words(spark, sf_dir)
 
 
 def _lines(spark, sf_dir):
