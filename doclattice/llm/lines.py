@@ -3,7 +3,7 @@
 Lines are told apart exactly first; the rest is about different lines. A line's signature is the bottom-k form of MinHash: the
 ``SKETCH`` smallest hashes of its shingles, over the shingles that start after anything but an ASCII letter (a choice that
 depends on content alone, so equal passages choose alike). Each run of ``RUNS[0]`` hashes in the sorted sketch is a
-band; lines that share a band are candidates. At similarity 0.8 a pair shares a band with probability 0.98, at 0.9 above 0.999.
+band; lines that share a band are candidates. At similarity 0.8 a pair shares a band with probability 0.98, at 0.9 with 0.998.
 Within a bucket every line meets the bucket's head, the line whose bands are the most shared (the original among edited copies, as a rule): pairs whose
 sketches agree in half or more are verified by the exact Jaccard similarity of the sets of all shingles. Lines that no head
 took are grouped again, among themselves, by longer runs. So a bucket of n lines costs n checks a round instead of n * n; a pair that shares

@@ -87,7 +87,7 @@ def links(prints: DataFrame, col: str, radius: int = RADIUS, parts: int = 2, blo
     The driver gets the size of every tile: at most (64 / parts + 1) ** parts numbers, 1089 for two parts.
     """
     width = 64 // parts
-    mask = (1 << width) - 1
+    mask = (1 << width) - 1 if width < 64 else -1
     counts = [F.bit_count(F.shiftrightunsigned(col, width * i).bitwiseAND(F.lit(mask).cast("long"))).cast("int") for i in range(parts)]
     keyed = prints.select(F.col(col).alias("fp"), F.array(*counts).alias("key"))
     blocks = {tuple(r[0]): -(-r[1] // block) for r in keyed.groupBy("key").count().collect()}

@@ -10,7 +10,7 @@ from doclattice.llm.lines import SHINGLE, SIMILARITY, dedup_lines
 from doclattice.llm.neighbours import with_next
 from doclattice.llm.queries import op3, op7
 from doclattice.llm.shared import connected_components
-from doclattice.llm.simhash import _forest, fingerprint, keep_one, near_duplicates
+from doclattice.llm.simhash import _forest, fingerprint, keep_one, links, near_duplicates
 from doclattice.llm.winnow import GRAM, WINDOW, fingerprint as winnow
 
 
@@ -67,6 +67,21 @@ def test_forest_keeps_all_links():
     assert [a.root(int(v)) for v in x] == [b.root(int(v)) for v in x]
 
 
+@pytest.mark.parametrize("parts, block", [(2, 16384), (2, 7), (4, 5), (1, 20)])
+def test_tiles(spark, parts, block):
+    r = random.Random(6)
+    base = [r.getrandbits(64) for _ in range(15)]
+    prints = sorted({(b ^ (1 << r.randrange(64)) ^ (1 << r.randrange(64))) - 2**63 for b in base for _ in range(10)})
+    want, got = Sets(), Sets()
+    for n, i in enumerate(prints):
+        for j in prints[:n]:
+            if ((i ^ j) & (2**64 - 1)).bit_count() <= 2:
+                want.join(i, j)
+    for e in links(spark.createDataFrame([(p,) for p in prints], "fp long"), "fp", parts=parts, block=block).collect():
+        got.join(e["a"], e["b"])
+    assert [want.root(p) for p in prints] == [got.root(p) for p in prints]
+
+
 def test_op3(spark, sf_dir):
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     prints = {i: brute_fp(t) for i, t in docs.items()}
