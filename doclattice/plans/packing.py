@@ -41,19 +41,19 @@ def entry_copy_translate(spark, sf_dir):
 @query("greedy_batches", f"WITH RECURSIVE {CHUNKS_SQL}, {greedy_sql('chunks', 'doc_id', 'chunk_no', 'len(text)', 16, 4800)} SELECT doc_id, chunk_no, n, batch_id FROM b")
 def q_greedy(spark, sf_dir):
     items, chars = batch_limits("copy", "quality")
-    sized = chunks(spark, sf_dir).select("doc_id", F.col("chunk_no").cast("long").alias("chunk_no"), F.char_length("text").cast("long").alias("n"))
+    sized = chunks(spark, sf_dir).select("doc_id", "chunk_no", F.char_length("text").cast("long").alias("n"))
     return greedy_batches(sized, ["doc_id"], ["chunk_no"], "n", items, chars)
 
 
 @query("tex_batches", f"WITH RECURSIVE {CHUNKS_SQL}, {greedy_sql('chunks', 'doc_id', 'chunk_no', 'len(text)', 8, 5000)} SELECT doc_id, chunk_no, batch_id FROM b")
 def q_tex_batches(spark, sf_dir):
-    sized = chunks(spark, sf_dir).select("doc_id", F.col("chunk_no").cast("long").alias("chunk_no"), F.char_length("text").alias("n"))
+    sized = chunks(spark, sf_dir).select("doc_id", "chunk_no", F.char_length("text").alias("n"))
     return greedy_batches(sized, ["doc_id"], ["chunk_no"], "n", DEFAULT.tex_items, DEFAULT.tex_chars).drop("n")
 
 
 @query("overlay_batches", f"WITH RECURSIVE {CHUNKS_SQL}, {greedy_sql('chunks', 'doc_id, page_no', 'chunk_no', 'len(text)', 4, 2200)} SELECT doc_id, page_no, chunk_no, batch_id FROM b")
 def q_overlay_batches(spark, sf_dir):
-    sized = chunks(spark, sf_dir).select("doc_id", F.col("page_no").cast("long").alias("page_no"), F.col("chunk_no").cast("long").alias("chunk_no"), F.char_length("text").alias("n"))
+    sized = chunks(spark, sf_dir).select("doc_id", "page_no", "chunk_no", F.char_length("text").alias("n"))
     return greedy_batches(sized, ["doc_id", "page_no"], ["chunk_no"], "n", DEFAULT.overlay_llm_items, DEFAULT.overlay_llm_chars).drop("n")
 
 

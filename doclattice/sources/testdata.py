@@ -30,7 +30,7 @@ def words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: The same in DuckDB.
 WORDS_SQL = """words AS (
-  SELECT doc_id, (j // 12) // 45 + 1 AS page_no, j AS word_seq, w AS text,
+  SELECT doc_id, ((j // 12) // 45 + 1)::INT AS page_no, j::INT AS word_seq, w AS text,
     (48 + 44 * (j % 12) + CASE WHEN doc_id % 2 = 1 AND j % 12 >= 6 THEN 24 ELSE 0 END)::DOUBLE AS x0,
     (48 + 44 * (j % 12) + CASE WHEN doc_id % 2 = 1 AND j % 12 >= 6 THEN 24 ELSE 0 END + 40 - CASE WHEN doc_id % 2 = 1 AND len(w) % 5 = 0 THEN 8 ELSE 0 END)::DOUBLE AS x1,
     (CASE WHEN (j // 12) % 45 = 0 THEN 12 ELSE 36 + 14 * ((j // 12) % 45) + 8 * (((j // 12) % 45) // 7) END + (j % 12) % 3)::DOUBLE AS top,
@@ -48,7 +48,7 @@ def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PAGE_TEXTS_SQL = """page_texts AS (
-  SELECT doc_id, i // 4 + 1 AS page_no, string_agg(line, chr(10) ORDER BY i) AS source_text FROM
+  SELECT doc_id, (i // 4 + 1)::INT AS page_no, string_agg(line, chr(10) ORDER BY i) AS source_text FROM
     (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)) GROUP BY ALL)"""
 
 
@@ -59,7 +59,7 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CHUNKS_SQL = """chunks AS (
-  SELECT doc_id, i AS chunk_no, i // 4 + 1 AS page_no, line AS text FROM
+  SELECT doc_id, i::INT AS chunk_no, (i // 4 + 1)::INT AS page_no, line AS text FROM
     (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)) WHERE trim(line) <> '')"""
 
 
