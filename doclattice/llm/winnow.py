@@ -37,6 +37,23 @@ def add_marks(df: DataFrame, text_col: str, out: str, gram: int = GRAM, window:
     return step.select(*names, F.expr(f"if(size(_all) <= {window}, array(array_min(_all)), array_distinct(_m))").alias(out))
 
 
+def edit_start(kept: str, gram: int = GRAM, window: int = WINDOW) -> str:
+    """SQL for where to start reading a text that begins with ``kept`` code points of a text whose marks are known.
+
+    Windows that end within the kept part choose as before. A mark more than a window before the last whole gram of that part
+    is chosen by such windows only, so reading from one window further back finds all others.
+    """
+    return f"greatest({kept} - {gram + 2 * (window - 1)}, 0)"
+
+
+def spliced(marks: str, tail: str, kept: str, gram: int = GRAM, window: int = WINDOW) -> Column:
+    """Marks of the edited text from the marks of the original and those of the edited text from ``edit_start`` on."""
+    start, last = edit_start(kept, gram, window), f"({kept} - {gram + window - 1})"
+    before = f"filter({marks}, x -> {start} > 0 and {_TOP} - (x & {_TOP}) <= {last})"
+    after = f"filter(transform({tail}, x -> x - {start}), x -> {start} = 0 or {_TOP} - (x & {_TOP}) > {last})"
+    return F.expr(f"concat({before}, {after})")
+
+
 def positions(marks: str) -> Column:
     """array<struct<hash, pos>> from the marks; positions count code points from 0."""
     return F.expr(f"transform({marks}, x -> struct(shiftright(x, 31) as hash, {_TOP} - (x & {_TOP}) as pos))")

@@ -11,7 +11,8 @@ from doclattice.llm.neighbours import with_next
 from doclattice.llm.queries import op3, op7
 from doclattice.llm.shared import connected_components
 from doclattice.llm.simhash import _forest, fingerprint, keep_one, links, near_duplicates
-from doclattice.llm.winnow import GRAM, WINDOW, fingerprint as winnow
+from doclattice.llm.winnow import GRAM, WINDOW, add_marks, edit_start, spliced
+from doclattice.llm.winnow import fingerprint as winnow
 
 
 class Sets:
@@ -117,6 +118,19 @@ def test_winnow(spark, text):
     assert [(m["hash"], -m["pos"]) for m in got] == brute_winnow(text)
 
 
+def test_spliced(spark):
+    """Marks of an edited text, spliced from those of its original, are those of the text itself."""
+    r = random.Random(8)
+    rows = []
+    for n in [*range(0, 70), 150, 300]:
+        text = "".join(r.choice("ab \U0001f600") for _ in range(n))
+        kept = n - n // 2
+        rows.append((n, text, kept, text[:kept] + "".join(r.choice("abc") for _ in range(r.randrange(n // 2 + 1)))))
+    df = add_marks(add_marks(spark.createDataFrame(rows, "n int, text string, kept int, edited string"), "text", "marks"), "edited", "want")
+    df = add_marks(df.selectExpr("*", f"substring(edited, {edit_start('kept')} + 1, char_length(edited)) as tail"), "tail", "tail_marks")
+    assert df.where(spliced("marks", "tail_marks", "kept") != df["want"]).select("n").collect() == []
+
+
 def test_next_rows(spark, monkeypatch):
     import doclattice.llm.neighbours as n
 
