@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .shared import connected_components, materialize
 
-SHINGLE, SKETCH, SIMILARITY, ALIKE = 12, 12, 0.8, 6
+SHINGLE, SKETCH, SIMILARITY, ALIKE = 10, 12, 0.8, 6
 #: Lengths of the runs that make bands, by round.
 RUNS = (3, 4, 6)
 

@@ -190,3 +190,14 @@ def test_lines_odd(spark, odd, none):
     assert {r["text"] for r in got if r["doc_id"] == 5} == {None}
     assert {r["text"] for r in got if r["doc_id"] == 2} == {" \n\t \n"}
     assert dedup_lines(none).count() == 0
+
+
+def test_lines_one_character(spark):
+    """One character in mid-line is 10 shingles, whatever the module says: a line of 105 characters is still like its copy."""
+    r = random.Random(3)
+    line = "".join(r.choice("abcdefgh ") if i % 5 else " " for i in range(105)).replace("  ", " x")[:105]
+    copy = line[:52] + "Z" + line[53:]
+    grams = [{x[i : i + 10] for i in range(len(x) - 9)} for x in (line, copy)]
+    assert 0.8 <= len(grams[0] & grams[1]) / len(grams[0] | grams[1]) < 0.82
+    got = dedup_lines(spark.createDataFrame([(1, line), (2, copy)], "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["n_kept"] for r in got} == {1: 1, 2: 0}
