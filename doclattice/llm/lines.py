@@ -3,12 +3,13 @@
 Lines are told apart exactly first; the rest is about different lines. A line's signature is the bottom-k form of MinHash: the
 ``SKETCH`` smallest hashes of its shingles, over the shingles that start after anything but an ASCII letter (a choice that
 depends on content alone, so equal passages choose alike). Each run of ``RUNS[0]`` hashes in the sorted sketch is a
-band; lines that share a band are candidates. At similarity 0.8 a pair shares a band with probability 0.98, at 0.9 with 0.998.
+band, and each run of one more without its second, so that a hash which one line alone has may stand between; lines that share a band are
+candidates. Drawn at random, at similarity 0.8 all but one of 2000 pairs share a band.
 Within a bucket every line meets the bucket's head, the line whose bands are the most shared (the original among edited copies, as a rule): pairs whose
 sketches agree in half or more are verified by the exact Jaccard similarity of the sets of all shingles. Lines that no head
-took are grouped again, among themselves, by longer runs. So a bucket of n lines costs n checks a round instead of n * n; a pair that shares
-bands is missed only where heads unlike both stand before it in all of them and in all rounds. Components of the verified links
-keep one line: the first by (document id, place).
+took are grouped again, among themselves, by longer runs. These rounds only find components cheaply. The last pass takes all buckets of the
+first round again: every pair in different components whose sketches agree is verified, and pairs within one need no check. Components
+of all verified links keep one line: the first by (document id, place).
 
 Defined cases: a null text counts as empty and stays null; blank lines are no lines of this kind and stay; a line shorter than a
 shingle is one shingle; a line of any length is read whole; repeated rows (same id and text) keep their lines once, in one
@@ -26,6 +27,8 @@ from .shared import connected_components, materialize
 SHINGLE, SKETCH, SIMILARITY, ALIKE = 10, 12, 0.8, 6
 #: Lengths of the runs that make bands, by round.
 RUNS = (3, 4, 6)
+#: Lines of a band that one unit of the last pass takes from either side.
+BLOCK = 1024
 
 
 def sketches(lines: DataFrame, line_col: str, out: str, shingle: int = SHINGLE, sketch: int = SKETCH) -> DataFrame:
@@ -38,10 +41,15 @@ def sketches(lines: DataFrame, line_col: str, out: str, shingle: int = SHINGLE,
     return hashed.select(*plain, F.expr(f"if(size(_h) = 0, array(xxhash64({line_col})), slice(array_distinct(_h), 1, {sketch}))").alias(out))
 
 
-def bands(sketch: str, run: int) -> Column:
-    """Band hashes: one for each run of the sketch; a shorter sketch is one band."""
-    members = ", ".join(f"{sketch}[i + {j}]" for j in range(run))
-    each = f"transform(sequence(0, greatest(size({sketch}) - {run}, 0)), i -> xxhash64({run}, {members}))"
+def bands(sketch: str, run: int, gaps: bool = False) -> Column:
+    """Band hashes: one for each run of the sketch; a shorter sketch is one band. With ``gaps`` also each run that leaves out its second hash."""
+    def runs(at: list[int]) -> str:
+        members = ", ".join(f"{sketch}[i + {j}]" for j in at)
+        return f"transform(sequence(0, greatest(size({sketch}) - {at[-1] + 1}, 0)), i -> xxhash64({run}, {members}))"
+
+    each = runs(list(range(run)))
+    if gaps:
+        each = f"if(size({sketch}) = {run}, {each}, array_union({each}, {runs([0, *range(2, run + 1)])}))"
     return F.expr(f"if(size({sketch}) < {run}, array(xxhash64({run}, {sketch})), {each})")
 
 
@@ -76,10 +84,11 @@ def first_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     distinct = ready.groupBy("h1", "h2").agg(F.min(F.struct("place", "sketch")).alias("f")).select("f.place", "f.sketch")
     known = materialize(distinct.withColumn("uid", F.monotonically_increasing_id()), "lines")
 
-    found, rest, texts, buckets = None, known.select("uid", "sketch"), None, None
+    found, rest, texts, first = None, known.select("uid", "sketch"), None, None
     for run in RUNS:
-        buckets = _together(rest.select("uid", F.explode(bands("sketch", run)).alias("band")))
+        buckets = _together(rest.select("uid", F.explode(bands("sketch", run, first is None)).alias("band")))
         if texts is None:
+            first = buckets
             wanted = known.join(buckets.select("uid").distinct(), "uid")
             texts = materialize(_line_texts(wanted.select("uid", "place", "sketch"), own), "line-texts")
         shared = F.struct(F.sum("n").over(W.partitionBy("uid")).alias("n"), (-F.col("uid")).alias("u"))
@@ -90,14 +99,35 @@ def first_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         open_ = buckets.select("uid").distinct().join(linked, "uid", "left_anti")
         rest = materialize(texts.join(open_, "uid").select("uid", "sketch"), "line-rest")
 
-    grouped = known.select("place", F.col("uid").alias("root"))
-    if found is not None:
-        roots = connected_components(found.select(F.col("uid").alias("a"), F.col("head").alias("b")), "lines-cc")
-        grouped = known.join(roots, F.col("uid") == F.col("node"), "left").select("place", F.coalesce("root", "uid").alias("root"))
-        grouped = grouped.groupBy("root").agg(F.min("place").alias("place"))
+    roots = connected_components(found.select(F.col("uid").alias("a"), F.col("head").alias("b")), "lines-cc")
+    across = _verified(_apart(first, texts, roots), texts, similarity)
+    ends = roots.select("node", "root")
+    named = across.join(ends, F.col("uid") == F.col("node"), "left").select(F.coalesce("root", "uid").alias("a"), "head")
+    named = named.join(ends, F.col("head") == F.col("node"), "left").select("a", F.coalesce("root", "head").alias("b"))
+    joined = connected_components(named, "lines-cc-across").select(F.col("node").alias("was"), F.col("root").alias("is"))
+    grouped = known.join(roots, F.col("uid") == F.col("node"), "left").select("place", F.coalesce("root", "uid").alias("was"))
+    grouped = grouped.join(joined, "was", "left").select("place", F.coalesce("is", "was").alias("root"))
+    grouped = grouped.groupBy("root").agg(F.min("place").alias("place"))
     return grouped.select("place.id", "place.th", "place.no").groupBy("id", "th").agg(F.sort_array(F.collect_list("no")).alias("keep"))
 
 
+def _apart(buckets: DataFrame, texts: DataFrame, roots: DataFrame) -> DataFrame:
+    """``uid, head``: all pairs of lines that share a band, are alike by their sketches and lie in different components.
+
+    In each band the members outside its head's component meet all others; a band is cut into blocks, so that no unit holds more than two.
+    """
+    at = buckets.join(roots, F.col("uid") == F.col("node"), "left").select("band", "uid", "n", F.coalesce("root", "uid").alias("root"))
+    # the component of the band: the one that most of its members are in
+    most = at.groupBy("band", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("band").agg(F.max(F.struct("c", "root")).alias("m"), F.sum("c").alias("all"))
+    mixed = materialize(at.join(most.where("m.c < all").select("band", F.col("m.root").alias("main")), "band").join(texts.select("uid", "sketch"), "uid"), "line-mixed")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    own, every = F.pmod(F.xxhash64("uid"), blocks).cast("int"), F.explode(F.sequence(F.lit(0), blocks - 1))
+    a = mixed.where("root <> main").select("band", own.alias("i"), every.alias("j"), F.col("uid").alias("a"), F.col("root").alias("ra"), F.col("sketch").alias("sa"))
+    b = mixed.select("band", own.alias("j"), every.alias("i"), F.col("uid").alias("b"), F.col("root").alias("rb"), F.col("sketch").alias("sb"), (F.col("root") == F.col("main")).alias("in_main"))
+    met = a.join(b, ["band", "i", "j"]).where("ra <> rb and (in_main or a < b)").where(alike("sa", "sb"))
+    return met.select(F.col("a").alias("uid"), F.col("b").alias("head")).distinct()
+
+
 def _together(members: DataFrame) -> DataFrame:
     """The members (uid, band) of bands that two or more share, with the number that share it; written."""
     n = F.count(F.lit(1)).over(W.partitionBy("band"))

@@ -201,3 +201,30 @@ def test_lines_one_character(spark):
     assert 0.8 <= len(grams[0] & grams[1]) / len(grams[0] | grams[1]) < 0.82
     got = dedup_lines(spark.createDataFrame([(1, line), (2, copy)], "doc_id long, text string")).collect()
     assert {r["doc_id"]: r["n_kept"] for r in got} == {1: 1, 2: 0}
+
+
+@pytest.mark.parametrize("block", [1024, 7])
+def test_lines_edits_of_edits(spark, monkeypatch, block):
+    """A group in which each line is an edit of another: components hang together by links between members that aren't heads."""
+    import doclattice.llm.lines as m
+
+    monkeypatch.setattr(m, "BLOCK", block, raising=False)
+    r, size = random.Random(2), 10
+    vocabulary = ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 8))) for _ in range(3000)]
+    made = [[r.choice(vocabulary) for _ in range(40)]]
+    while len(made) < 500:
+        words = list(r.choice(made))
+        for _ in range(r.randint(1, 3)):
+            words[r.randrange(40)] = r.choice(vocabulary)
+        made.append(words)
+    texts = list(dict.fromkeys(" ".join(w) for w in made))
+    grams = [{x[i : i + size] for i in range(len(x) - size + 1)} for x in texts]
+    sets = Sets()
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(grams[i] & grams[j])
+            if both / (len(grams[i]) + len(grams[j]) - both) >= 0.8:
+                sets.join(i, j)
+    want = len({sets.root(i) for i in range(len(texts))})
+    kept = sum(x["n_kept"] for x in m.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect())
+    assert want <= kept <= 1.01 * want
