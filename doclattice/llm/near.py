@@ -1,0 +1,81 @@
+"""Near-duplicate documents by the Jaccard similarity of their sets of five-word shingles.
+
+Documents with equal sets are told apart first. Of the others, those that share a band of their smallest hashes are candidates, as in
+``lines``; a link is verified by the exact similarity of the whole sets. Of a component of links one document stays.
+
+Defined cases: words are those of ``simhash``; a text with fewer words than a shingle is one shingle; texts without words, or null, have the empty
+set and are copies of each other; repeated rows are copies; a null id stays only where all of its component are null; an empty table gives an empty result.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from .lines import RUNS, SKETCH, _apart, _together, alike, bands
+from .shared import connected_components, materialize
+
+SHINGLE, SIMILARITY, SEED = 5, 0.8, 42
+
+
+def shingle_set(text: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
+    """The distinct XXH64 hashes of all shingles, ascending, as signed integers."""
+    words = (text or b"").lower().split()
+    n = max(len(words) - shingle + 1, 1 if words else 0)
+    hashes = [xxhash.xxh64_intdigest(b" ".join(words[i : i + shingle]), SEED) for i in range(n)]
+    return np.unique(np.array(hashes, np.uint64).view(np.int64))
+
+
+def with_sets(docs: DataFrame, text_col: str, out: str, shingle: int = SHINGLE) -> DataFrame:
+    """Adds ``out``, the shingle set. The Arrow function sees the text column alone."""
+
+    @F.arrow_udf("array<bigint>")
+    def of(texts: pa.Array) -> pa.Array:
+        return pa.array([shingle_set(t, shingle) for t in texts.cast(pa.binary()).to_pylist()], pa.list_(pa.int64()))
+
+    return docs.withColumn(out, of(F.col(text_col).cast("string")))
+
+
+def similarity_of(a: str, b: str) -> Column:
+    """Exact Jaccard similarity of two sets that aren't both empty."""
+    return F.expr(f"transform(array(size(array_intersect({a}, {b}))), c -> c / (size({a}) + size({b}) - c))[0]")
+
+
+def _close(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (uid, head) whose sets are as similar as asked; written."""
+    a = sets.select("uid", F.col("set").alias("x"), F.col("sketch").alias("sx"))
+    b = sets.select(F.col("uid").alias("head"), F.col("set").alias("y"), F.col("sketch").alias("sy"))
+    least = F.least(F.size("x"), F.size("y")) >= similarity * F.greatest(F.size("x"), F.size("y"))
+    met = pairs.join(a, "uid").join(b, "head").where(least & alike("sx", "sy") & (similarity_of("x", "y") >= similarity))
+    return materialize(met.select("uid", "head"), "near-links")
+
+
+def groups(prints: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """``uid, root`` of all linked documents: ``prints`` (uid, sketch) of distinct sets; the sets of ``texts`` (uid, text) are built for candidates alone."""
+    buckets = _together(prints.where("size(sketch) > 0").select("uid", F.explode(bands("sketch", RUNS[0], True)).alias("band")))
+    wanted = texts.join(buckets.select("uid").distinct(), "uid", "left_semi")
+    sets = materialize(with_sets(wanted, "text", "set").select("uid", "set", F.slice("set", 1, SKETCH).alias("sketch")), "near-sets")
+    shared = F.struct(F.sum("n").over(W.partitionBy("uid")).alias("n"), (-F.col("uid")).alias("u"))
+    heads = buckets.withColumn("shared", shared).groupBy("band").agg(F.max("shared").alias("h")).select("band", (-F.col("h.u")).alias("head"))
+    found = _close(buckets.select("uid", "band").join(heads, "band").where("uid <> head").select("uid", "head").distinct(), sets, similarity)
+    roots = connected_components(found.select(F.col("uid").alias("a"), F.col("head").alias("b")), "near-cc")
+    every = found.unionByName(_close(_apart(buckets, sets, roots), sets, similarity))
+    return connected_components(every.select(F.col("uid").alias("a"), F.col("head").alias("b")), "near-cc-all").select(F.col("node").alias("uid"), "root")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of ``docs`` without all but one of each component: the row with the smallest id stays, of equal ids any one."""
+    packed = docs.select(F.struct("*").alias("doc"), F.col(text_col).alias("text"), F.col(id_col).alias("id"))
+    marks = [F.xxhash64("set").alias("h1"), F.xxhash64(F.lit(1), "set").alias("h2"), F.slice("set", 1, SKETCH).alias("sketch")]
+    whole = materialize(with_sets(packed, "text", "set").select("doc", "id", *marks, F.monotonically_increasing_id().alias("row")), "near-whole")
+    slim = whole.select(F.struct(F.col("id").isNull().alias("n"), "id", "row").alias("o"), "h1", "h2", "sketch")
+    distinct = slim.groupBy("h1", "h2").agg(F.min("o").alias("o"), F.first("sketch").alias("sketch"))
+    prints = materialize(distinct.select(F.col("o.row").alias("uid"), "o", "sketch"), "near-distinct")
+    texts = whole.select(F.col("row").alias("uid"), F.col(f"doc.`{text_col}`").alias("text"))
+    of = prints.select("uid", "o").join(groups(prints.select("uid", "sketch"), texts, similarity), "uid", "left")
+    stays = of.groupBy(F.coalesce("root", "uid").alias("root")).agg(F.min("o").alias("o")).select(F.col("o.row").alias("row"))
+    return whole.join(stays, "row", "left_semi").select("doc.*")

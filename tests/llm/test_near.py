@@ -228,3 +228,30 @@ def test_lines_edits_of_edits(spark, monkeypatch, block):
     want = len({sets.root(i) for i in range(len(texts))})
     kept = sum(x["n_kept"] for x in m.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect())
     assert want <= kept <= 1.01 * want
+
+
+def test_pipeline_near_copies(spark, odd, none):
+    """The pipeline's stage takes five words and similarity 0.8: edited copies go, however far their fingerprints are."""
+    import corpus_pipeline
+
+    r = random.Random(5)
+    rows, want = [], Sets()
+    for k in range(12):
+        words = [f"w{r.randrange(900)}" for _ in range(200)]
+        rows.append((len(rows), " ".join(words)))
+        for edits in (1, 2, 4, 6):
+            copy = list(words)
+            for at in r.sample(range(200), edits):
+                copy[at] = f"e{r.randrange(900)}"
+            rows.append((len(rows), " ".join(copy)))
+    grams = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for _, t in rows]
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(grams[i] & grams[j]) / len(grams[i] | grams[j]) >= 0.8:
+                want.join(i, j)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert sorted(x["doc_id"] for x in kept.collect()) == sorted({want.root(i) for i in range(len(rows))})
+    assert keep_one(docs).count() > kept.count()
+    assert sorted(str(x["doc_id"]) for x in corpus_pipeline.near_duplicates(spark, odd, "").collect()) == ["1", "3", "4", "6", "7", "9", "None"]
+    assert corpus_pipeline.near_duplicates(spark, none, "").count() == 0
