@@ -234,6 +234,5 @@ def q_fit_images(spark, sf_dir):
 
 @query("fit_text", None)
 def q_fit_text(spark, sf_dir):
-    small = chunks(spark, sf_dir).select("doc_id", "chunk_no", F.substring("text", 1, 400).alias("text"))
-    fitted = small.select("doc_id", "chunk_no", fit_size(F.col("text"), F.lit(180.0), F.lit(40.0)).alias("f"))
+    fitted = chunks(spark, sf_dir).select("doc_id", "chunk_no", fit_size(F.col("text"), F.lit(180.0), F.lit(40.0)).alias("f"))
     return fitted.select("doc_id", "chunk_no", "f.size", F.size("f.lines").alias("n_lines"))

@@ -71,3 +71,13 @@ def test_images(spark):
 def test_empty_words(spark):
     assert L.layout_regions(page(spark, []), 612.0, 792.0).count() == 0
     assert L.page_text(page(spark, []), 612.0).count() == 0
+
+
+def test_fit_text_reads_whole_lines(spark, tmp_path):
+    """Lines that differ after 400 characters alone are fitted to different numbers of lines or sizes."""
+    from doclattice.plans.layout import q_fit_text
+
+    texts = [(1, "word " * 80), (2, "word " * 400)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["size"], r["n_lines"]) for r in q_fit_text(spark, str(tmp_path)).collect()}
+    assert got[1] != got[2]
