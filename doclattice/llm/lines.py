@@ -1,78 +1,70 @@
-"""Line dedup by MinHash over character shingles [native: SQL functions only].
-
-Lines are told apart exactly first; the rest is about different lines. A line's signature is the bottom-k form of MinHash: the
-``SKETCH`` smallest hashes of its shingles, over the shingles that start after anything but an ASCII letter (a choice that
-depends on content alone, so equal passages choose alike). Each run of ``RUNS[0]`` hashes in the sorted sketch is a
-band, and each run of one more without its second, so that a hash which one line alone has may stand between; lines that share a band are
-candidates. Drawn at random, at similarity 0.8 all but one of 2000 pairs share a band.
-Within a bucket every line meets the bucket's head, the line whose bands are the most shared (the original among edited copies, as a rule): pairs whose
-sketches agree in half or more are verified by the exact Jaccard similarity of the sets of all shingles. Lines that no head
-took are grouped again, among themselves, by longer runs. These rounds only find components cheaply. The last pass takes all buckets of the
-first round again: every pair in different components whose sketches agree is verified, and pairs within one need no check. Components
-of all verified links keep one line: the first by (document id, place).
+"""Line dedup by MinHash over character shingles.
+
+Lines are told apart exactly first; the rest is about different lines. A line's signature is the bottom-k form of MinHash: the ``SKETCH`` smallest
+hashes of all its shingles. Each run of ``RUN`` neighbours in the sorted signature is a band; lines that share a band are candidates. For lines
+with at most ``SKETCH`` shingles the signature is the whole set, and any two that are 0.8 alike share a band: d shingles that only one of them has cut the
+4 * d or more that both have into d + 1 runs at most, one of which is long enough (sets of 4 and 5 also have bands of two). For longer lines that are
+just 0.8 alike, 99.5 % share one.
+
+Candidates are verified in two steps, which together look at every pair that shares a band. First every line meets the head of each of its
+bands, the member with the smallest number. Then, in each band whose members still lie in several components, all members outside the largest component meet all
+members, in blocks of bounded size, by the exact Jaccard similarity of the sets of all shingles; pairs that are connected already need no
+look. Blocks return the links that connect components, not all links. Components keep one line: the first by (document id, place).
+
+Signing and verifying run in numpy over Arrow batches (``shingles``): SQL functions take about a microsecond for each shingle, which alone is more than the time that the
+operator may take. Lines, bands, heads, blocks and components are DataFrame operations.
 
 Defined cases: a null text counts as empty and stays null; blank lines are no lines of this kind and stay; a line shorter than a
 shingle is one shingle; a line of any length is read whole; repeated rows (same id and text) keep their lines once, in one
-of the rows; a null id comes after all others; an empty table gives an empty result.
+of the rows; a null id comes after all others; an empty table gives an empty result; other columns stay as they are, whatever their names, but those named like the two counts are
+replaced by them.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .shared import connected_components, materialize
+from .shingles import char_sets, lists, pair_similarity, similar
 
-SHINGLE, SKETCH, SIMILARITY, ALIKE = 10, 12, 0.8, 6
-#: Lengths of the runs that make bands, by round.
-RUNS = (3, 4, 6)
-#: Lines of a band that one unit of the last pass takes from either side.
-BLOCK = 1024
-
+SHINGLE, SKETCH, RUN, SIMILARITY = 10, 14, 3, 0.8
+#: Shingles that one block of the second step takes from either side, about.
+BLOCK = 1 << 18
 
-def sketches(lines: DataFrame, line_col: str, out: str, shingle: int = SHINGLE, sketch: int = SKETCH) -> DataFrame:
-    """Adds ``out``: the smallest shingle hashes of each line, ascending. A line without a whole shingle has its own hash."""
-    names = [F.col(c) for c in lines.columns if c != out]
-    plain = [c for c in lines.columns if c != out]
-    # a blank before the line stands for its start
-    some = f"regexp_extract_all(concat(' ', {line_col}), '(?s)[^A-Za-z](?=(.{{{shingle}}}))', 1)"
-    hashed = lines.select(*names, F.expr(f"sort_array(transform({some}, s -> xxhash64(s)))").alias("_h"))
-    return hashed.select(*plain, F.expr(f"if(size(_h) = 0, array(xxhash64({line_col})), slice(array_distinct(_h), 1, {sketch}))").alias(out))
 
+def signed(line_col: str, shingle: int = SHINGLE, sketch: int = SKETCH) -> Column:
+    """struct<sketch, n>: the smallest shingle hashes of each line, ascending, and the number of its different shingles."""
 
-def bands(sketch: str, run: int, gaps: bool = False) -> Column:
-    """Band hashes: one for each run of the sketch; a shorter sketch is one band. With ``gaps`` also each run that leaves out its second hash."""
-    def runs(at: list[int]) -> str:
-        members = ", ".join(f"{sketch}[i + {j}]" for j in at)
-        return f"transform(sequence(0, greatest(size({sketch}) - {at[-1] + 1}, 0)), i -> xxhash64({run}, {members}))"
+    @F.arrow_udf("struct<sketch:array<bigint>,n:bigint>")
+    def of(lines: pa.Array) -> pa.Array:
+        found, sizes = lists(char_sets(lines, shingle), sketch)
+        return pa.StructArray.from_arrays([found, pa.array(sizes, pa.int64())], ["sketch", "n"])
 
-    each = runs(list(range(run)))
-    if gaps:
-        each = f"if(size({sketch}) = {run}, {each}, array_union({each}, {runs([0, *range(2, run + 1)])}))"
-    return F.expr(f"if(size({sketch}) < {run}, array(xxhash64({run}, {sketch})), {each})")
+    return of(F.col(line_col))
 
 
-def jaccard(a: str, b: str, shingle: int = SHINGLE) -> Column:
-    """Exact Jaccard similarity of the shingle sets of two lines (shingles by their 64-bit hashes)."""
-    sets = [f"array_distinct(if(char_length({x}) < {shingle}, array(xxhash64({x})), transform(regexp_extract_all({x}, '(?s)(?=(.{{{shingle}}})).', 1), s -> xxhash64(s))))" for x in (a, b)]
-    return F.expr(f"transform(array(struct({sets[0]} as x, {sets[1]} as y)), s -> transform(array(size(array_intersect(s.x, s.y))), c -> c / (size(s.x) + size(s.y) - c))[0])[0]")
+def bands(sketch: str, run: int = RUN) -> Column:
+    """Band hashes: one for each run of the sketch; a shorter sketch is one band. Sketches of four and five also have bands of two."""
 
+    def runs(size: int) -> str:
+        members = ", ".join(f"{sketch}[i + {j}]" for j in range(size))
+        return f"transform(sequence(0, size({sketch}) - {size}), i -> xxhash64({size}, {members}))"
 
-def alike(a: str, b: str, least: int = ALIKE, sketch: int = SKETCH) -> Column:
-    """Whether ``least`` of the smallest hashes of both sketches together (fewer for short sketches) are in both."""
-    n = f"least({sketch}, size({a}), size({b}))"
-    low = f"slice(array_sort(array_union({a}, {b})), 1, {n})"
-    return F.expr(f"size(array_intersect({low}, array_intersect({a}, {b}))) * {sketch} >= {least} * {n}")
+    return F.expr(f"case when size({sketch}) < {run} then array(xxhash64(0, {sketch})) when size({sketch}) in (4, 5) then concat({runs(run)}, {runs(run - 1)}) else {runs(run)} end")
 
 
 def _key(id_col: str) -> Column:
     """The id with nulls last, as the largest long."""
-    return F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1))
+    return F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(2**63 - 1))
 
 
 def _identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(_key(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
+    text = F.col(f"`{text_col}`").cast("string")
+    return docs.select(_key(id_col).alias("id"), F.xxhash64(text).alias("th"), F.coalesce(text, F.lit("")).alias("t"))
 
 
 def first_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -80,79 +72,75 @@ def first_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     own = _identified(docs, id_col, text_col)
     lines = own.select("id", "th", F.posexplode(F.split("t", "\n")).alias("no", "line")).where(r"line rlike '\\S'")
     place = F.struct(F.col("id").alias("id"), F.col("no").alias("no"), F.col("th").alias("th"))
-    ready = sketches(lines.select(place.alias("place"), F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), "line"), "line", "sketch").drop("line")
-    distinct = ready.groupBy("h1", "h2").agg(F.min(F.struct("place", "sketch")).alias("f")).select("f.place", "f.sketch")
+    ready = lines.select(place.alias("place"), F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), signed("line").alias("s"))
+    distinct = ready.groupBy("h1", "h2").agg(F.min(F.struct("place", "s")).alias("f")).select("f.place", "f.s.sketch", "f.s.n")
     known = materialize(distinct.withColumn("uid", F.monotonically_increasing_id()), "lines")
-
-    found, rest, texts, first = None, known.select("uid", "sketch"), None, None
-    for run in RUNS:
-        buckets = _together(rest.select("uid", F.explode(bands("sketch", run, first is None)).alias("band")))
-        if texts is None:
-            first = buckets
-            wanted = known.join(buckets.select("uid").distinct(), "uid")
-            texts = materialize(_line_texts(wanted.select("uid", "place", "sketch"), own), "line-texts")
-        shared = F.struct(F.sum("n").over(W.partitionBy("uid")).alias("n"), (-F.col("uid")).alias("u"))
-        heads = buckets.withColumn("shared", shared).groupBy("band").agg(F.max("shared").alias("h")).select("band", (-F.col("h.u")).alias("head"))
-        close = _verified(buckets.select("uid", "band").join(heads, "band").where("uid <> head").select("uid", "head").distinct(), texts, similarity)
-        found = close if found is None else found.unionByName(close)
-        linked = close.select("uid").union(close.select("head")).distinct()
-        open_ = buckets.select("uid").distinct().join(linked, "uid", "left_anti")
-        rest = materialize(texts.join(open_, "uid").select("uid", "sketch"), "line-rest")
-
-    roots = connected_components(found.select(F.col("uid").alias("a"), F.col("head").alias("b")), "lines-cc")
-    across = _verified(_apart(first, texts, roots), texts, similarity)
-    ends = roots.select("node", "root")
-    named = across.join(ends, F.col("uid") == F.col("node"), "left").select(F.coalesce("root", "uid").alias("a"), "head")
-    named = named.join(ends, F.col("head") == F.col("node"), "left").select("a", F.coalesce("root", "head").alias("b"))
-    joined = connected_components(named, "lines-cc-across").select(F.col("node").alias("was"), F.col("root").alias("is"))
-    grouped = known.join(roots, F.col("uid") == F.col("node"), "left").select("place", F.coalesce("root", "uid").alias("was"))
-    grouped = grouped.join(joined, "was", "left").select("place", F.coalesce("is", "was").alias("root"))
+    roots = line_groups(known, lambda wanted: _line_texts(known.join(wanted, "uid").select("uid", "place"), own), similarity)
+    grouped = known.join(roots, F.col("uid") == F.col("node"), "left").select("place", F.coalesce("root", "uid").alias("root"))
     grouped = grouped.groupBy("root").agg(F.min("place").alias("place"))
     return grouped.select("place.id", "place.th", "place.no").groupBy("id", "th").agg(F.sort_array(F.collect_list("no")).alias("keep"))
 
 
-def _apart(buckets: DataFrame, texts: DataFrame, roots: DataFrame) -> DataFrame:
-    """``uid, head``: all pairs of lines that share a band, are alike by their sketches and lie in different components.
+def line_groups(known: DataFrame, texts_of, similarity: float = SIMILARITY) -> DataFrame:
+    """``node, root`` of all linked lines. ``known`` has ``uid, sketch, n`` of different lines; ``texts_of`` gives ``uid, line`` for a frame of ``uid``."""
+    members = known.select("uid", "n", F.explode(bands("sketch")).alias("band"))
+    # counted by partial aggregates, so a band that a third of all lines share is no task's burden; bands with the same members are one
+    print_ = F.expr("bit_xor(xxhash64(uid))")
+    shared = members.groupBy("band").agg(F.count(F.lit(1)).alias("c"), F.min("uid").alias("head"), F.max("uid").alias("last"), print_.alias("print"), F.sum("n").alias("total")).where("c > 1")
+    shared = materialize(shared.groupBy("c", "head", "last", "print").agg(F.min("band").alias("band"), F.first("total").alias("total")), "line-bands")
+    held = materialize(members.join(shared.where("c > 2").select("band", "head", "total"), "band"), "line-members")
+    first = shared.where("c = 2").select(F.col("last").alias("uid"), "head").unionByName(held.where("uid <> head").select("uid", "head")).distinct()
+    first = materialize(first, "line-heads")
+    texts = materialize(texts_of(first.select("uid").union(first.select("head")).distinct()), "line-texts")
+    close = materialize(_verified(first, texts, similarity), "line-links")
+    roots = connected_components(close.select(F.col("uid").alias("a"), F.col("head").alias("b")), "lines-cc")
+    across = _across(held, texts, roots, similarity)
+    every = across.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    return connected_components(every, "lines-cc-all")
 
-    In each band the members outside its head's component meet all others; a band is cut into blocks, so that no unit holds more than two.
-    """
-    at = buckets.join(roots, F.col("uid") == F.col("node"), "left").select("band", "uid", "n", F.coalesce("root", "uid").alias("root"))
-    # the component of the band: the one that most of its members are in
-    most = at.groupBy("band", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("band").agg(F.max(F.struct("c", "root")).alias("m"), F.sum("c").alias("all"))
-    mixed = materialize(at.join(most.where("m.c < all").select("band", F.col("m.root").alias("main")), "band").join(texts.select("uid", "sketch"), "uid"), "line-mixed")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own, every = F.pmod(F.xxhash64("uid"), blocks).cast("int"), F.explode(F.sequence(F.lit(0), blocks - 1))
-    a = mixed.where("root <> main").select("band", own.alias("i"), every.alias("j"), F.col("uid").alias("a"), F.col("root").alias("ra"), F.col("sketch").alias("sa"))
-    b = mixed.select("band", own.alias("j"), every.alias("i"), F.col("uid").alias("b"), F.col("root").alias("rb"), F.col("sketch").alias("sb"), (F.col("root") == F.col("main")).alias("in_main"))
-    met = a.join(b, ["band", "i", "j"]).where("ra <> rb and (in_main or a < b)").where(alike("sa", "sb"))
-    return met.select(F.col("a").alias("uid"), F.col("b").alias("head")).distinct()
 
+def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (uid, head) whose lines are as similar as asked."""
 
-def _together(members: DataFrame) -> DataFrame:
-    """The members (uid, band) of bands that two or more share, with the number that share it; written."""
-    n = F.count(F.lit(1)).over(W.partitionBy("band"))
-    return materialize(members.select("uid", "band").withColumn("n", n).where("n > 1"), "line-buckets")
+    @F.arrow_udf("double")
+    def alike(x: pa.Array, y: pa.Array) -> pa.Array:
+        return pa.array(pair_similarity(x, y, lambda t: char_sets(t, SHINGLE)), pa.float64())
 
+    met = pairs.join(texts.select("uid", F.col("line").alias("x")), "uid").join(texts.select(F.col("uid").alias("head"), F.col("line").alias("y")), "head")
+    return met.where(alike("x", "y") >= similarity - 1e-9).select("uid", "head")
 
-def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (uid, head) whose lines are as similar as asked; written."""
-    a = texts.select("uid", F.col("line").alias("x"), F.col("sketch").alias("sx"))
-    b = texts.select(F.col("uid").alias("head"), F.col("line").alias("y"), F.col("sketch").alias("sy"))
-    met = pairs.join(a, "uid").join(b, "head").where(alike("sx", "sy") & (jaccard("x", "y") >= similarity))
-    return materialize(met.select("uid", "head"), "line-links")
+
+def _across(held: DataFrame, texts: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """``a, b``: links between components, enough to connect all lines that share a band and are as similar as asked."""
+    at = held.join(roots, F.col("uid") == F.col("node"), "left").select("band", "uid", "total", F.coalesce("root", "uid").alias("root"))
+    most = at.groupBy("band", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("band").agg(F.max(F.struct("c", "root")).alias("m"), F.sum("c").alias("all"))
+    mixed = materialize(at.join(most.where("m.c < all").select("band", F.col("m.root").alias("main")), "band"), "line-mixed")
+    blocks = F.ceil(F.col("total") / BLOCK).cast("int")
+    own, every = F.pmod(F.xxhash64("uid"), blocks).cast("int"), F.explode(F.sequence(F.lit(0), blocks - 1))
+    a = mixed.where("root <> main").select("band", own.alias("i"), every.alias("j"), F.lit(True).alias("left"), "uid", "root")
+    b = mixed.select("band", every.alias("i"), own.alias("j"), F.lit(False).alias("left"), "uid", "root")
+    units = b.join(a.select("band", "i", "j").distinct(), ["band", "i", "j"], "left_semi").unionByName(a).join(texts, "uid")
+
+    def compare(table: pa.Table) -> pa.Table:
+        uid, root = table["uid"].to_numpy(), table["root"].to_numpy()
+        runs = list(char_sets(table["line"].combine_chunks(), SHINGLE))
+        found = similar(np.concatenate([r[0] for r in runs]), np.concatenate([r[1] for r in runs]), root, np.flatnonzero(table["left"].to_numpy()), similarity)
+        return pa.table({"a": pa.array([int(uid[i]) for i, _ in found], pa.int64()), "b": pa.array([int(uid[j]) for _, j in found], pa.int64())})
+
+    return units.groupBy("band", "i", "j").applyInArrow(compare, "a bigint, b bigint")
 
 
 def _line_texts(wanted: DataFrame, own: DataFrame) -> DataFrame:
-    """``uid, line, sketch`` for ``wanted(uid, place, sketch)``: texts are met once, by (id, hash of text)."""
-    per = wanted.groupBy(F.col("place.id").alias("id"), F.col("place.th").alias("th")).agg(F.collect_list(F.struct("place.no", "uid", "sketch")).alias("want"))
+    """``uid, line`` for ``wanted(uid, place)``: texts are met once, by (id, hash of text)."""
+    per = wanted.groupBy(F.col("place.id").alias("id"), F.col("place.th").alias("th")).agg(F.collect_list(F.struct("place.no", "uid")).alias("want"))
     met = own.join(per, ["id", "th"]).select(F.split("t", "\n").alias("all"), F.explode("want").alias("w"))
-    return met.select("w.uid", F.expr("all[w.no]").alias("line"), "w.sketch").dropDuplicates(["uid"])
+    return met.select("w.uid", F.expr("all[w.no]").alias("line")).dropDuplicates(["uid"])
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, lines_out: str = "n_lines", kept_out: str = "n_kept") -> DataFrame:
     """All rows and columns of ``docs`` with ``text_col`` reduced to the lines that stay, and ``lines_out``, ``kept_out`` (counts of lines that aren't blank)."""
     keep = first_lines(docs, id_col, text_col, similarity).select(F.col("id").alias("_key"), F.col("th").alias("_th"), F.col("keep").alias("_keep"))
-    packed = docs.select(F.struct("*").alias("_row"), _key(id_col).alias("_key"), F.xxhash64(text_col).alias("_th"))
+    packed = docs.select(F.struct("*").alias("_row"), _key(id_col).alias("_key"), F.xxhash64(F.col(f"`{text_col}`").cast("string")).alias("_th"))
     met = packed.join(keep, ["_key", "_th"], "left")
     once = F.row_number().over(W.partitionBy("_key", "_th").orderBy(F.lit(1)))
     none, held = F.array().cast("array<int>"), F.col(f"_row.`{text_col}`")
@@ -161,5 +149,5 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     met = met.withColumn("_lines", F.expr(r"cast(size(filter(_all, x -> x rlike '\\S')) as bigint)")).withColumn("_kept", F.size("_keep").cast("long"))
     left = F.expr(r"array_join(filter(_all, (x, i) -> not (x rlike '\\S') or array_contains(_keep, i)), '\n')")
     text = F.when((F.col("_lines") == F.col("_kept")) | held.isNull(), held).otherwise(left)
-    columns = [(text if c == text_col else F.col(f"_row.`{c}`")).alias(c) for c in docs.columns]
+    columns = [(text if c == text_col else F.col(f"_row.`{c}`")).alias(c) for c in docs.columns if c not in (lines_out, kept_out)]
     return met.select(*columns, F.col("_lines").alias(lines_out), F.col("_kept").alias(kept_out))
