@@ -6,10 +6,10 @@ with at most ``SKETCH`` shingles the signature is the whole set, and any two tha
 4 * d or more that both have into d + 1 runs at most, one of which is long enough (sets of 4 and 5 also have bands of two). For longer lines that are
 just 0.8 alike, 99.5 % share one.
 
-Candidates are verified in two steps, which together look at every pair that shares a band. First every line meets the head of each of its
-bands, the member with the smallest number. Then, in each band whose members still lie in several components, all members outside the largest component meet all
-members, in blocks of bounded size, by the exact Jaccard similarity of the sets of all shingles; pairs that are connected already need no
-look. Blocks return the links that connect components, not all links. Components keep one line: the first by (document id, place).
+Bands connect lines to families. In each family all lines meet, in blocks of bounded size, by the exact Jaccard similarity of the sets of all shingles; an
+index of rare shingles spares pairs that can't be similar, and pairs that are connected already need no look. A family of more than ``FEW`` blocks (lines may hang together by common
+passages) is gone through band by band, so that only lines which share a band meet. Either way every pair that shares a band is looked at, whatever the size of a band or family. Blocks return the links that
+connect lines, not all links. Components of links keep one line: the first by (document id, place).
 
 Signing and verifying run in numpy over Arrow batches (``shingles``): SQL functions take about a microsecond for each shingle, which alone is more than the time that the
 operator may take. Lines, bands, heads, blocks and components are DataFrame operations.
@@ -22,39 +22,68 @@ replaced by them.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .shared import connected_components, materialize
-from .shingles import char_sets, lists, pair_similarity, similar
+from .shingles import arrow_lists, char_sets, char_sketches, mix, similar
 
 SHINGLE, SKETCH, RUN, SIMILARITY = 10, 14, 3, 0.8
-#: Shingles that one block of the second step takes from either side, about.
-BLOCK = 1 << 18
+#: Characters of a block, about; blocks of a family that is compared as a whole; bits of the bitmaps that spare rows a shuffle (8 MB, whatever the data).
+BLOCK, FEW, BITS = 1 << 19, 8, 26
+
+
+def bands_of(flat: np.ndarray, sizes: np.ndarray, run: int = RUN) -> tuple[np.ndarray, np.ndarray]:
+    """Band hashes of sketches, which lie one after the other: one for each run; a shorter sketch is one band. Sketches of four and five also have bands of two. Also their numbers."""
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(flat))  # members from each on
+    found, texts = [], []
+
+    def add(size: int, start: np.ndarray) -> None:
+        h = np.full(len(start), size << 52, np.uint64)
+        for j in range(size):
+            h = mix(h + flat[start + j])
+        found.append(h)
+        texts.append(of[start])
+
+    add(run, np.flatnonzero(left >= run))
+    add(run - 1, np.flatnonzero((left >= run - 1) & np.isin(sizes, (4, 5))[of]))
+    for size in range(1, run):
+        add(size, np.flatnonzero((left == size) & (sizes == size)[of]))
+    texts = np.concatenate(texts)
+    return np.concatenate(found)[np.argsort(texts, kind="stable")], np.bincount(texts, minlength=len(sizes))
 
 
 def signed(line_col: str, shingle: int = SHINGLE, sketch: int = SKETCH) -> Column:
-    """struct<sketch, n>: the smallest shingle hashes of each line, ascending, and the number of its different shingles."""
+    """The bands of each line, as longs."""
 
-    @F.arrow_udf("struct<sketch:array<bigint>,n:bigint>")
+    @F.arrow_udf("array<bigint>")
     def of(lines: pa.Array) -> pa.Array:
-        found, sizes = lists(char_sets(lines, shingle), sketch)
-        return pa.StructArray.from_arrays([found, pa.array(sizes, pa.int64())], ["sketch", "n"])
+        found = [bands_of(flat, n) for flat, n, _ in char_sketches(lines, shingle, sketch)]
+        return arrow_lists(np.concatenate([np.zeros(0, np.uint64), *(f[0] for f in found)]), np.concatenate([np.zeros(0, np.int64), *(f[1] for f in found)]))
 
     return of(F.col(line_col))
 
 
-def bands(sketch: str, run: int = RUN) -> Column:
-    """Band hashes: one for each run of the sketch; a shorter sketch is one band. Sketches of four and five also have bands of two."""
+def _bitmap(keys: DataFrame, col: str) -> np.ndarray:
+    """Bits of the hashes in ``col``: what isn't among them has one by chance only. The driver gets ``2 ** (BITS - 3)`` bytes at most."""
+    at = F.col(col).bitwiseAND((1 << BITS) - 1)
+    rows = keys.select(F.shiftright(at, 15).alias("k"), at.bitwiseAND(32767).alias("bit")).groupBy("k").agg(F.bitmap_construct_agg("bit").alias("bits")).collect()
+    out = np.zeros((1 << BITS - 15, 4096), np.uint8)
+    for r in rows:
+        out[r["k"]] = np.frombuffer(r["bits"], np.uint8)
+    return out.ravel()
 
-    def runs(size: int) -> str:
-        members = ", ".join(f"{sketch}[i + {j}]" for j in range(size))
-        return f"transform(sequence(0, size({sketch}) - {size}), i -> xxhash64({size}, {members}))"
 
-    return F.expr(f"case when size({sketch}) < {run} then array(xxhash64(0, {sketch})) when size({sketch}) in (4, 5) then concat({runs(run)}, {runs(run - 1)}) else {runs(run)} end")
+def _set(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    at = hashes & ((1 << BITS) - 1)
+    return bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1 > 0
 
 
 def _key(id_col: str) -> Column:
@@ -72,69 +101,85 @@ def first_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     own = _identified(docs, id_col, text_col)
     lines = own.select("id", "th", F.posexplode(F.split("t", "\n")).alias("no", "line")).where(r"line rlike '\\S'")
     place = F.struct(F.col("id").alias("id"), F.col("no").alias("no"), F.col("th").alias("th"))
-    ready = lines.select(place.alias("place"), F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), signed("line").alias("s"))
-    distinct = ready.groupBy("h1", "h2").agg(F.min(F.struct("place", "s")).alias("f")).select("f.place", "f.s.sketch", "f.s.n")
+    hashed = lines.select(place.alias("place"), F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), "line")
+    ready = hashed.select("place", "h1", "h2", signed("line").alias("bands"))
+    distinct = ready.groupBy("h1", "h2").agg(F.min(F.struct("place", "bands")).alias("f")).select("h1", "h2", "f.place", "f.bands")
     known = materialize(distinct.withColumn("uid", F.monotonically_increasing_id()), "lines")
-    roots = line_groups(known, lambda wanted: _line_texts(known.join(wanted, "uid").select("uid", "place"), own), similarity)
+    roots = line_groups(known.select("uid", "bands"), lambda wanted: _line_texts(known.join(wanted, "uid").select("uid", "h1", "h2"), hashed), similarity)
     grouped = known.join(roots, F.col("uid") == F.col("node"), "left").select("place", F.coalesce("root", "uid").alias("root"))
     grouped = grouped.groupBy("root").agg(F.min("place").alias("place"))
     return grouped.select("place.id", "place.th", "place.no").groupBy("id", "th").agg(F.sort_array(F.collect_list("no")).alias("keep"))
 
 
-def line_groups(known: DataFrame, texts_of, similarity: float = SIMILARITY) -> DataFrame:
-    """``node, root`` of all linked lines. ``known`` has ``uid, sketch, n`` of different lines; ``texts_of`` gives ``uid, line`` for a frame of ``uid``."""
-    members = known.select("uid", "n", F.explode(bands("sketch")).alias("band"))
-    # counted by partial aggregates, so a band that a third of all lines share is no task's burden; bands with the same members are one
-    print_ = F.expr("bit_xor(xxhash64(uid))")
-    shared = members.groupBy("band").agg(F.count(F.lit(1)).alias("c"), F.min("uid").alias("head"), F.max("uid").alias("last"), print_.alias("print"), F.sum("n").alias("total")).where("c > 1")
-    shared = materialize(shared.groupBy("c", "head", "last", "print").agg(F.min("band").alias("band"), F.first("total").alias("total")), "line-bands")
-    held = materialize(members.join(shared.where("c > 2").select("band", "head", "total"), "band"), "line-members")
-    first = shared.where("c = 2").select(F.col("last").alias("uid"), "head").unionByName(held.where("uid <> head").select("uid", "head")).distinct()
-    first = materialize(first, "line-heads")
-    texts = materialize(texts_of(first.select("uid").union(first.select("head")).distinct()), "line-texts")
-    close = materialize(_verified(first, texts, similarity), "line-links")
-    roots = connected_components(close.select(F.col("uid").alias("a"), F.col("head").alias("b")), "lines-cc")
-    across = _across(held, texts, roots, similarity)
-    every = across.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
-    return connected_components(every, "lines-cc-all")
-
-
-def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (uid, head) whose lines are as similar as asked."""
-
-    @F.arrow_udf("double")
-    def alike(x: pa.Array, y: pa.Array) -> pa.Array:
-        return pa.array(pair_similarity(x, y, lambda t: char_sets(t, SHINGLE)), pa.float64())
-
-    met = pairs.join(texts.select("uid", F.col("line").alias("x")), "uid").join(texts.select(F.col("uid").alias("head"), F.col("line").alias("y")), "head")
-    return met.where(alike("x", "y") >= similarity - 1e-9).select("uid", "head")
-
-
-def _across(held: DataFrame, texts: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
-    """``a, b``: links between components, enough to connect all lines that share a band and are as similar as asked."""
-    at = held.join(roots, F.col("uid") == F.col("node"), "left").select("band", "uid", "total", F.coalesce("root", "uid").alias("root"))
-    most = at.groupBy("band", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("band").agg(F.max(F.struct("c", "root")).alias("m"), F.sum("c").alias("all"))
-    mixed = materialize(at.join(most.where("m.c < all").select("band", F.col("m.root").alias("main")), "band"), "line-mixed")
-    blocks = F.ceil(F.col("total") / BLOCK).cast("int")
-    own, every = F.pmod(F.xxhash64("uid"), blocks).cast("int"), F.explode(F.sequence(F.lit(0), blocks - 1))
-    a = mixed.where("root <> main").select("band", own.alias("i"), every.alias("j"), F.lit(True).alias("left"), "uid", "root")
-    b = mixed.select("band", every.alias("i"), own.alias("j"), F.lit(False).alias("left"), "uid", "root")
-    units = b.join(a.select("band", "i", "j").distinct(), ["band", "i", "j"], "left_semi").unionByName(a).join(texts, "uid")
+def line_groups(known: DataFrame, texts_of: Callable[[DataFrame], DataFrame], similarity: float = SIMILARITY) -> DataFrame:
+    """``node, root`` of all linked lines. ``known`` has ``uid, bands`` of different lines; ``texts_of`` gives ``uid, line`` for a frame of ``uid``."""
+    # counted by partial aggregates, so a band that a third of all lines share is no task's burden
+    counted = known.select("uid", F.explode("bands").alias("band")).groupBy("band").agg(F.count(F.lit(1)).alias("c"), F.min("uid").alias("head"), F.max("uid").alias("last")).where("c > 1")
+    shared = materialize(counted, "line-bands")
+    big = shared.where("c > 2").select("band", "head", "c")
+    bitmap = _bitmap(big, "band")
+
+    @F.arrow_udf("array<bigint>")
+    def maybe(bands: pa.Array) -> pa.Array:
+        of = np.repeat(np.arange(len(bands)), pc.list_value_length(bands).to_numpy(zero_copy_only=False))
+        flat = bands.flatten().to_numpy()
+        kept = _set(bitmap, flat)
+        return arrow_lists(flat[kept], np.bincount(of[kept], minlength=len(bands)))
+
+    some = known.select("uid", F.explode(maybe("bands")).alias("band")).join(big, "band")
+    # bands with the same members are one
+    print_ = some.groupBy("band").agg(F.expr("bit_xor(xxhash64(uid))").alias("print"), F.first("c").alias("c"), F.first("head").alias("head"))
+    one = materialize(print_.groupBy("c", "head", "print").agg(F.min("band").alias("band")).select("band", "c", "head"), "line-big")
+    held = materialize(some.select("band", "uid").join(one, "band"), "line-members")
+    pairs = shared.where("c = 2").select("band", "head", "last")
+    first = pairs.select(F.col("last").alias("uid"), "head").unionByName(held.where("uid <> head").select("uid", "head")).distinct()
+    families = connected_components(first.select(F.col("uid").alias("a"), F.col("head").alias("b")), "line-families")
+    texts = materialize(texts_of(families.select(F.col("node").alias("uid"))).withColumn("n", F.char_length("line") + 1), "line-texts")
+    sizes = families.join(texts.select(F.col("uid").alias("node"), "n"), "node").groupBy("root").agg(F.sum("n").alias("n"))
+    wide = sizes.where(F.col("n") > FEW * BLOCK).select("root")
+    links = compared(families.join(wide, "root", "left_anti").select(F.col("root").alias("key"), F.col("node").alias("uid")), texts, similarity)
+    if wide.take(1):
+        of = families.join(wide, "root", "left_semi").select(F.col("node").alias("uid"))
+        by_band = held.select("band", "uid").unionByName(pairs.select("band", F.explode(F.array("head", "last")).alias("uid")))
+        links = links.unionByName(compared(by_band.join(of, "uid", "left_semi").select(F.col("band").alias("key"), "uid"), texts, similarity))
+    return connected_components(links, "lines-cc")
+
+
+def compared(members: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """``a, b``: links enough to connect all members (key, uid) of a key that are as similar as asked; ``texts`` has ``uid, line, n`` (characters).
+
+    Keys of one block are compared many at a time; others block by block.
+    """
+    members = members.join(texts.select("uid", "n"), "uid")
+    blocks = members.groupBy("key").agg(F.sum("n").alias("n")).where("n > 0").select("key", F.ceil(F.col("n") / BLOCK).alias("blocks"), "n")
+    units = blocks.where("blocks = 1").agg(F.ceil(F.sum("n") / (2 * BLOCK))).first()[0] or 1
+    met = members.select("key", "uid").join(blocks.select("key", "blocks"), "key").withColumn("own", F.pmod(F.xxhash64("uid"), "blocks"))
+    met = met.select("key", "uid", "blocks", "own", F.explode(F.expr("sequence(0L, blocks - 1)")).alias("other"))
+    alone = F.col("blocks") == 1
+    unit = F.when(alone, F.pmod(F.xxhash64("key"), F.lit(units))).otherwise(F.col("key")).alias("unit")
+    i, j = (F.when(alone, F.lit(-1)).otherwise(f("own", "other")).alias(n) for n, f in (("i", F.least), ("j", F.greatest)))
 
     def compare(table: pa.Table) -> pa.Table:
-        uid, root = table["uid"].to_numpy(), table["root"].to_numpy()
+        uid, key = table["uid"].to_numpy(), np.unique(table["key"].to_numpy(), return_inverse=True)[1]
         runs = list(char_sets(table["line"].combine_chunks(), SHINGLE))
-        found = similar(np.concatenate([r[0] for r in runs]), np.concatenate([r[1] for r in runs]), root, np.flatnonzero(table["left"].to_numpy()), similarity)
+        flat, sizes = np.concatenate([r[0] for r in runs]), np.concatenate([r[1] for r in runs])
+        flat = mix(flat + np.repeat(key.astype(np.uint64) << np.uint64(52), sizes))  # lines of different keys have nothing in common
+        found = similar(flat, sizes, np.arange(len(uid)), np.arange(len(uid)), similarity)
         return pa.table({"a": pa.array([int(uid[i]) for i, _ in found], pa.int64()), "b": pa.array([int(uid[j]) for _, j in found], pa.int64())})
 
-    return units.groupBy("band", "i", "j").applyInArrow(compare, "a bigint, b bigint")
+    return met.select("key", "uid", unit, i, j).join(texts.select("uid", "line"), "uid").groupBy("unit", "i", "j").applyInArrow(compare, "a bigint, b bigint")
+
+
+def _line_texts(wanted: DataFrame, hashed: DataFrame) -> DataFrame:
+    """``uid, line`` for ``wanted(uid, h1, h2)``: lines whose hash may be wanted are met by it."""
+    bitmap = _bitmap(wanted, "h1")
 
+    @F.arrow_udf("boolean")
+    def maybe(h: pa.Array) -> pa.Array:
+        return pa.array(_set(bitmap, h.to_numpy()))
 
-def _line_texts(wanted: DataFrame, own: DataFrame) -> DataFrame:
-    """``uid, line`` for ``wanted(uid, place)``: texts are met once, by (id, hash of text)."""
-    per = wanted.groupBy(F.col("place.id").alias("id"), F.col("place.th").alias("th")).agg(F.collect_list(F.struct("place.no", "uid")).alias("want"))
-    met = own.join(per, ["id", "th"]).select(F.split("t", "\n").alias("all"), F.explode("want").alias("w"))
-    return met.select("w.uid", F.expr("all[w.no]").alias("line")).dropDuplicates(["uid"])
+    some = hashed.select("h1", "h2", "line").where(maybe("h1"))
+    return some.join(wanted, ["h1", "h2"]).groupBy("uid").agg(F.first("line").alias("line"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, lines_out: str = "n_lines", kept_out: str = "n_kept") -> DataFrame:

@@ -6,6 +6,8 @@ cluster names in ``spark.checkpoint.dir``, so that a lost executor costs a re-re
 
 from __future__ import annotations
 
+import atexit
+import re
 import tempfile
 import uuid
 
@@ -16,21 +18,46 @@ __all__ = ["shared_dir", "materialize", "read_table", "partitions", "connected_c
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set (tests)."""
+    """The folder that driver and executors share. Where none is set, one of our own on a single machine (tests); on a cluster that is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        master = spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[[\d*, ]+\])?", master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="doclattice-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder. It goes when the driver ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if not _left:
+        atexit.register(_delete)
+    _left.append((spark, path))
+    return path
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: a cut of the lineage on reliable storage."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_left: list[tuple[SparkSession, str]] = []
+
+
+def _delete() -> None:
+    """Removes the tables of this driver: results may be read from them until it ends."""
+    for spark, path in _left:
+        try:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
+        except Exception:  # noqa: BLE001, S112  the session has ended: the cluster clears its folder
+            continue
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -65,7 +92,8 @@ def connected_components(edges: DataFrame, name: str = "cc") -> DataFrame:
     longest path. Nodes without an edge don't appear; self-loops and repeats are harmless, null ends are ignored.
     """
     sym = edges.where("a is not null and b is not null")
-    sym = materialize(sym.select("a", "b").union(sym.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{name}-edges")
+    both = F.explode(F.expr("array(struct(a as a, b as b), struct(b as a, a as b))"))
+    sym = materialize(sym.select(both.alias("e")).select("e.*").distinct(), f"{name}-edges")
     state = materialize(sym.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")), f"{name}-0")
     step = 0
     while True:

@@ -7,7 +7,7 @@ are its MinHash signature. Sets keep 52 bits of each hash, in ascending order.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +16,7 @@ import xxhash
 
 _BASE = 0x9E3779B97F4A7C15
 #: Symbols that are hashed at a time, and texts: their number has 12 bits in the keys that are sorted.
-SYMBOLS, TEXTS = 1 << 17, 1 << 12
+SYMBOLS, TEXTS = 1 << 15, 1 << 12
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -41,18 +41,49 @@ def rolled(symbols: np.ndarray, width: int) -> np.ndarray:
     return mix(total)
 
 
+def _hashes(symbols: np.ndarray, sizes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """52-bit hashes of all shingles of texts with ``sizes`` symbols, text by text, and their number in each. Fewer symbols than ``width`` are one shingle, ended by zeros."""
+    if (sizes < width).any():
+        room = np.maximum(sizes, width)
+        laid = np.zeros(int(room.sum()), np.uint64)
+        laid[np.repeat(np.cumsum(room) - room - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(symbols))] = symbols
+        symbols, sizes = laid, room
+    inside = np.ones(len(symbols), bool)
+    for back in range(1, width):  # runs that would end in the next text
+        inside[np.cumsum(sizes) - back] = False
+    hashes = rolled(symbols, width)
+    return hashes[inside[: len(hashes)]] >> np.uint64(12), sizes - width + 1
+
+
+def _distinct(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sets of texts from their hashes, ascending, one after the other, and the size of each set."""
+    keys = np.repeat(np.arange(len(counts), dtype=np.uint64) << np.uint64(52), counts) | hashes
+    keys.sort()
+    keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
+    return keys & np.uint64((1 << 52) - 1), np.bincount((keys >> np.uint64(52)).astype(np.int64), minlength=len(counts))
+
+
 def _sets(symbols: np.ndarray, sizes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """The shingle sets of texts with ``sizes`` symbols, one after the other, and the size of each set. Fewer symbols than ``width`` are one shingle, ended by zeros."""
-    room = np.maximum(sizes, width)
-    starts = np.cumsum(room) - room
-    laid = np.zeros(int(room.sum()), np.uint64)
-    laid[np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(symbols))] = symbols
-    counts = room - width + 1
-    no = np.repeat(np.arange(len(sizes), dtype=np.uint64), counts)
-    at = np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(len(no))
-    keys = np.sort(no << np.uint64(52) | rolled(laid, width)[at] >> np.uint64(12))
-    keys = keys[np.flatnonzero(np.diff(keys, prepend=~keys[:1]))] if len(keys) else keys
-    return keys & np.uint64((1 << 52) - 1), np.bincount((keys >> np.uint64(52)).astype(np.int64), minlength=len(sizes))
+    return _distinct(*_hashes(symbols, sizes, width)) if len(sizes) else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+
+def _smallest(symbols: np.ndarray, sizes: np.ndarray, width: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``most`` smallest members of each set, the number of them, and the number of shingles (repeats included)."""
+    hashes, counts = _hashes(symbols, sizes, width)
+    # hashes below a bound that about four times as many of a text fall under; texts that hold fewer different ones are sorted whole
+    bound = (np.minimum(1.0, 4 * most / counts) * (1 << 52)).astype(np.uint64)
+    low = hashes < np.repeat(bound, counts)
+    ends = np.cumsum(counts)
+    few, n = _distinct(hashes[low], np.add.reduceat(low, ends - counts, dtype=np.int64))
+    short = np.flatnonzero((n < most) & (4 * most < counts))
+    rank = np.arange(len(few)) - np.repeat(np.cumsum(n) - n, n)
+    if not len(short):
+        return few[rank < most], np.minimum(n, most), counts
+    parts = np.split(few, np.cumsum(n)[:-1])
+    for i in short.tolist():
+        parts[i] = np.unique(hashes[ends[i] - counts[i] : ends[i]])
+    parts = [x[:most] for x in parts]
+    return np.concatenate(parts), np.array([len(x) for x in parts]), counts
 
 
 def _runs(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -65,13 +96,25 @@ def _runs(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
         first = stop
 
 
-def char_sets(texts: pa.Array, width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(hashes, set sizes) of runs of texts by shingles of ``width`` code points. A null is an empty text."""
+def _points(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(mixed code points, sizes) of runs of texts. A null is an empty text."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     sizes = pc.utf8_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
     for first, stop in _runs(sizes):
         points = np.frombuffer("".join(texts.slice(first, stop - first).to_pylist()).encode("utf-32-le", "replace"), np.uint32)
-        yield _sets(mix(points + np.uint64(_BASE)), sizes[first:stop], width)
+        yield mix(points + np.uint64(_BASE)), sizes[first:stop]
+
+
+def char_sets(texts: pa.Array, width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(hashes, set sizes) of runs of texts by shingles of ``width`` code points."""
+    for symbols, sizes in _points(texts):
+        yield _sets(symbols, sizes, width)
+
+
+def char_sketches(texts: pa.Array, width: int, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(smallest hashes, their numbers, numbers of shingles) of runs of texts by shingles of ``width`` code points."""
+    for symbols, sizes in _points(texts):
+        yield _smallest(symbols, sizes, width, most)
 
 
 def word_sets(texts: pa.Array, width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -90,65 +133,49 @@ def word_sets(texts: pa.Array, width: int) -> Iterator[tuple[np.ndarray, np.ndar
         yield (hashes, counts) if own.all() else (hashes[np.repeat(own > 0, counts)], np.where(own > 0, counts, 0))
 
 
-def lists(runs: Iterator[tuple[np.ndarray, np.ndarray]], most: int | None = None) -> tuple[pa.Array, np.ndarray]:
-    """One list for each text, of its ``most`` smallest hashes (all without), and the sizes of the whole sets."""
-    found, kept, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for hashes, counts in runs:
-        own = counts if most is None else np.minimum(counts, most)
-        rank = np.arange(len(hashes)) - np.repeat(np.cumsum(counts) - counts, counts)
-        found.append(hashes if most is None else hashes[rank < most])
-        kept.append(own)
-        sizes.append(counts)
-    offsets = np.concatenate([[0], np.cumsum(np.concatenate(kept))]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found).view(np.int64))), np.concatenate(sizes)
+def arrow_lists(flat: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """One list of longs for each text."""
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat.view(np.int64)))
 
 
-def similar(flat: np.ndarray, sizes: np.ndarray, root: np.ndarray, left: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+def similar(flat: np.ndarray, sizes: np.ndarray, root: np.ndarray, left: np.ndarray, similarity: float, prints: np.ndarray | None = None, radius: int = 64) -> list[tuple[int, int]]:
     """Links that connect all sets with a Jaccard similarity of ``similarity`` or more: pairs (i, j), i from ``left``, of sets with different roots.
 
-    Every set of ``left`` meets all others whose size allows the similarity, unless links found before connect the two. ``flat`` has the sets one after the other.
+    Exact: with the members of every set ordered from the rarest to the most frequent, two sets that are so similar share one of the first
+    ``size - similarity * size + 1`` members of both. Such pairs, if their sizes allow the similarity (and fingerprints lie within the radius, where ``prints`` are
+    given), are counted out unless links found before connect the two. ``flat`` has the sets one after the other.
     """
     ids = np.unique(flat, return_inverse=True)[1]
-    order = np.argsort(sizes, kind="stable")
-    starts = np.cumsum(sizes) - sizes
-    by_size, ends = sizes[order], np.cumsum(sizes[order])
-    laid = ids[np.repeat(starts[order] - (ends - by_size), by_size) + np.arange(len(ids))]
-    label = np.unique(root, return_inverse=True)[1][order]
-    place = np.empty(len(order), np.int64)
-    place[order] = np.arange(len(order))
-    held, found = np.zeros(int(ids.max(initial=-1)) + 1, bool), []
+    rank = np.empty(int(ids.max(initial=-1)) + 1, np.int64)
+    rank[np.argsort(np.bincount(ids, minlength=len(rank)), kind="stable")] = np.arange(len(rank))
+    of, starts = np.repeat(np.arange(len(sizes)), sizes), np.cumsum(sizes) - sizes
+    token = np.sort(of << 40 | rank[ids]) & ((1 << 40) - 1)
+    first = sizes - np.ceil(similarity * sizes - 1e-9).astype(np.int64) + 1
+    head = np.arange(len(token)) - starts[of] < first[of]
+    holders = of[head][np.argsort(token[head], kind="stable")]
+    begin = np.concatenate([[0], np.cumsum(np.bincount(token[head], minlength=len(rank)))])
+    label, held, found = np.unique(root, return_inverse=True)[1], np.zeros(len(rank), bool), []
     for i in left.tolist():
-        n = int(sizes[i])
-        a, b = np.searchsorted(by_size, n * similarity - 1e-9), np.searchsorted(by_size, n / similarity + 1e-9, side="right")
-        own = int(place[i])
-        open_ = label[a:b] != label[own]
-        if not n or not open_.any():
+        mine = token[starts[i] : starts[i] + sizes[i]]
+        rare = mine[: first[i]]
+        met = holders[_ranges(begin[rare], begin[rare + 1] - begin[rare])]
+        met = np.unique(met[label[met] != label[i]])
+        met = met[(sizes[met] >= similarity * sizes[i] - 1e-9) & (sizes[i] >= similarity * sizes[met] - 1e-9)]
+        if prints is not None:
+            met = met[np.bitwise_count(prints[met] ^ prints[i]).sum(axis=1) <= radius]
+        if not len(met):
             continue
-        first = int(ends[a] - by_size[a])
-        mine = laid[ends[own] - n : ends[own]]
         held[mine] = True
-        both = np.add.reduceat(held[laid[first : ends[b - 1]]].astype(np.int32), ends[a:b] - by_size[a:b] - first)
+        for part in np.split(met, np.flatnonzero(np.diff(np.cumsum(sizes[met]) >> 22)) + 1):
+            both = np.add.reduceat(held[token[_ranges(starts[part], sizes[part])]].astype(np.int64), np.cumsum(sizes[part]) - sizes[part])
+            for j in part[both >= similarity * (sizes[part] + sizes[i] - both) - 1e-9].tolist():
+                if label[j] != label[i]:
+                    found.append((i, j))
+                    label[label == label[j]] = label[i]
         held[mine] = False
-        near = np.flatnonzero(open_ & (both >= similarity * (by_size[a:b] + n - both) - 1e-9)) + a
-        for j in near.tolist():
-            if label[j] != label[own]:
-                found.append((i, int(order[j])))
-                label[label == label[j]] = label[own]
     return found
 
 
-def pair_similarity(x: pa.Array, y: pa.Array, sets: Callable[[pa.Array], Iterator[tuple[np.ndarray, np.ndarray]]]) -> np.ndarray:
-    """Exact Jaccard similarity of the sets of texts ``x`` and ``y``, pair by pair; two empty sets are equal."""
-    out = [np.zeros(0)]
-    for at in range(0, len(x), TEXTS):
-        sides = [list(sets(t.slice(at, TEXTS))) for t in (x, y)]
-        keys, sizes = [], []
-        for runs in sides:
-            n = np.concatenate([r[1] for r in runs])
-            keys.append(np.repeat(np.arange(len(n), dtype=np.uint64), n) << np.uint64(52) | np.concatenate([r[0] for r in runs]))
-            sizes.append(n)
-        met = np.sort(np.concatenate(keys))
-        both = np.bincount((met[1:][met[1:] == met[:-1]] >> np.uint64(52)).astype(np.int64), minlength=len(sizes[0]))
-        every = sizes[0] + sizes[1] - both
-        out.append(np.where(every > 0, both / np.maximum(every, 1), 1.0))
-    return np.concatenate(out)
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """``start .. start + size - 1`` of all, one after the other."""
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
