@@ -1,25 +1,25 @@
 """Mixing sources to target weights by pivotal dependent rounding.
 
 A source's target gives every document of it the same expected number of copies; the whole part is taken, the
-rest is a probability. Pairs of fractional documents transfer mass at random, weighted by their sizes,
-until one of the two is integral, so the words of the source stay what they were. Documents meet in order of size, the largest first,
-and what stays fractional is handed on
-to smaller ones. Shards of a source are rounded independently and each leaves
-one residual at most; residuals are combined in a tree of shards of shards until one is left, which is rounded to the nearer number.
-
-Defined cases: a null text has size 0; documents of size 0 take the whole part of their copies; a null source is a source of its own,
-the last; a source is capped at twice its size; repeated rows are documents of their own; random draws depend on source, shard and
-sizes alone, so reruns agree; an empty table gives an empty result.
+rest is a probability. Fractional documents transfer mass at random, weighted by their sizes, until one side of a pair is integral, so the words
+of the source stay what they were and each document's expected copies too. The largest document comes first, paired with the pool of all smaller ones, which
+share one probability. Shards of a source are rounded independently and each leaves one residual at most; residuals are combined in
+pairs in a tree of shards of shards until one is left, which is rounded at random by its probability.
+
+Defined cases: a null text has size 0; documents of size 0 take the whole part of their copies; a text of any length is counted whole; a null source is a source of its own,
+the last; a source is capped at twice its size; rows with the same id, source and text are one entry, whose copies are spread over them evenly; shards and random draws
+depend on sources, ids, sizes and texts alone, so reruns agree, however the rows are laid out; an empty table gives an empty result; other columns are kept (``mixed``) or ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-import bisect
 import hashlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .shared import materialize, row_order
@@ -56,68 +56,64 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
 
 
 def pivotal(size: np.ndarray, p: np.ndarray, seed: int) -> np.ndarray:
-    """Probabilities after pairwise rounding in the given order; one entry at most stays fractional. ``sum(size * p)`` doesn't change."""
+    """Probabilities after pairwise rounding in the given order (the largest first); one entry at most stays fractional. ``sum(size * p)`` doesn't change, nor does any entry's expectation.
+
+    Entries that share their probability (as those of one source do) are rounded one by one against the pool of all that follow, which goes on sharing
+    one probability: a large document is settled against many small ones, and what stays fractional is small. Others meet in pairs.
+    """
     r = np.random.default_rng(seed)
-    draw = r.random(len(p)).tolist()
+    draw = r.random(2 * len(p)).tolist()
     w, out = size.astype(float).tolist(), p.tolist()
+    open_ = [j for j in range(len(out)) if 0 < out[j] < 1]
+    shared = Counter(out[j] for j in open_).most_common(1)[0][0] if open_ else None
+    pool = [j for j in open_ if out[j] == shared]
+    left = _against_pool(w, out, pool, shared, draw) if pool else -1
     i = -1
-    for j in range(len(out)):
-        if not 0 < out[j] < 1:
-            continue
+    for j in [j for j in open_ if j == left or p[j] != shared]:
         if i < 0:
             i = j
             continue
-        # words that may move from i to j, and from j to i
-        to_j = min(out[i] * w[i], (1 - out[j]) * w[j])
-        to_i = min(out[j] * w[j], (1 - out[i]) * w[i])
-        move = to_j if draw[j] * (to_i + to_j) < to_i else -to_i
-        left, right = out[i] - move / w[i], out[j] + move / w[j]
-        left, right = (round(x) if abs(x - round(x)) < 1e-9 else x for x in (left, right))
-        out[i], out[j] = left, right
-        if not 0 < left < 1:
-            i = j if 0 < right < 1 else -1
-    _settle(w, out, i, r)
+        out[i], out[j] = _pair(w[i], out[i], w[j], out[j], draw[len(p) + j])
+        if not 0 < out[i] < 1:
+            i = j if 0 < out[j] < 1 else -1
     return np.array(out, float)
 
 
-def _settle(w: list[float], out: list[float], i: int, r: np.random.Generator) -> None:
-    """Hands the residual on to ever smaller entries: ``i`` goes up by what it takes from entries at 1, or down by what it gives to entries at 0: the smallest with room, or the largest where none has room."""
-    if i < 0:
-        return
-    up = sorted((w[j], j) for j in range(len(w)) if out[j] == 1 and 0 < w[j] < w[i])
-    down = sorted((w[j], j) for j in range(len(w)) if out[j] == 0 and 0 < w[j] < w[i])
-    rise = r.random() < out[i]
-    while True:
-        words, pool = (1 - out[i] if rise else out[i]) * w[i], up if rise else down
-        at = bisect.bisect_left(pool, (words, -1))
-        while pool and pool[-1][0] >= w[i]:
-            pool.pop()
-        if not pool:
-            return
-        room, j = pool.pop(min(at, len(pool) - 1))
-        if room < words:  # not enough: all of it goes, and the next follows
-            out[j] = 0 if rise else 1
-            out[i] += room / w[i] if rise else -room / w[i]
-            continue
-        out[i], out[j] = (1, 1 - words / room) if rise else (0, words / room)
-        if abs(out[j] - round(out[j])) < 1e-9:
-            out[j] = round(out[j])
-            return
-        i, rise = j, r.random() < out[j]
+def _pair(w: float, p: float, v: float, q: float, draw: float) -> tuple[float, float]:
+    """Words move from one side (``w`` words at probability ``p``) to the other (``v``, ``q``) or back, until one is integral."""
+    give, take = min(p * w, (1 - q) * v), min(q * v, (1 - p) * w)
+    move = -give if draw * (give + take) < take else take
+    return tuple(float(round(x)) if abs(x - round(x)) < 1e-9 else x for x in (p + move / w, q - move / v))
+
+
+def _against_pool(w: list[float], out: list[float], pool: list[int], rate: float, draw: list[float]) -> int:
+    """Rounds the entries of ``pool`` in order; returns the one that stays fractional, or -1."""
+    rest = sum(w[j] for j in pool)
+    for n, j in enumerate(pool):
+        rest -= w[j]
+        if n == len(pool) - 1:
+            out[j] = rate
+        else:
+            out[j], rate = _pair(w[j], rate, rest, rate, draw[j])
+        if 0 < out[j] < 1 or rate in (0.0, 1.0):  # the rest is integral, or there is none
+            for k in pool[n + 1 :]:
+                out[k] = rate
+            return j if 0 < out[j] < 1 else -1
+    return -1
 
 
-_FIELDS = "row long, id long, source string, size long, whole long, p double, shard long"
+_FIELDS = "row long, id long, source string, size long, key long, n long, whole long, p double, shard long"
 
 
 def _round(table: pa.Table, last: bool) -> pa.Table:
     size, p = table["size"].to_numpy(), table["p"].to_numpy().copy()
     ids = table["id"].fill_null(2**63 - 1).to_numpy()
-    order = np.lexsort((table["row"].to_numpy(), ids, -size))
+    order = np.lexsort((table["key"].to_numpy(), ids, -size))
     key = f"{table['source'][0].as_py()!r}/{table['shard'][0].as_py()}/{len(size)}/{size.sum()}"
     seed = int.from_bytes(hashlib.sha256(key.encode()).digest()[:8], "big")
     p[order] = pivotal(size[order], p[order], seed)
-    if last:
-        p = np.where((p > 0) & (p < 1), np.round(p), p)
+    if last:  # one entry at most
+        p = np.where((p > 0) & (p < 1), (np.random.default_rng(seed + 1).random() < p).astype(float), p)
     return table.set_column(table.schema.get_field_index("p"), "p", pa.array(p))
 
 
@@ -125,16 +121,20 @@ def _rounding(last: bool):
     return lambda table: _round(table, last)
 
 
-def copies(docs: DataFrame, row_col: str, id_col: str, source_col: str, size_col: str, leaf: int = LEAF, fan: int = FAN) -> DataFrame:
-    """``row, copies, source_size, target`` and the given columns for every row of ``docs`` (which must be cheap to read several times)."""
-    slim = docs.select(F.col(row_col).alias("row"), F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), F.col(size_col).cast("long").alias("size"))
+def copies(docs: DataFrame, leaf: int = LEAF, fan: int = FAN) -> DataFrame:
+    """``row, id, size, copies, source_size, target`` for every row of ``docs(row, id, source, size, key)``, which must be cheap to read several times.
+
+    Rows with the same id, source, size and key are one entry with a number, which spreads its copies evenly over them.
+    """
+    slim = docs.select("row", F.col("id").cast("long").alias("id"), F.col("source").cast("string").alias("source"), F.col("size").cast("long").alias("size"), "key")
     goals = materialize(targets(slim), "targets")
-    key = lambda c: F.coalesce(F.concat(F.lit("="), c), F.lit("?"))
-    met = slim.withColumn("k", key(F.col("source"))).join(goals.select(key(F.col("source")).alias("k"), "docs", "source_size", "target"), "k")
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    rated = met.withColumn("whole", F.floor(rate)).withColumn("p", F.when(F.col("size") > 0, rate - F.floor(rate)).otherwise(0.0))
+    named = lambda c: F.coalesce(F.concat(F.lit("="), c), F.lit("?"))
+    same = slim.groupBy("id", "source", "size", "key").agg(F.min("row").alias("row"), F.count(F.lit(1)).alias("n"))
+    met = same.withColumn("k", named(F.col("source"))).join(goals.select(named(F.col("source")).alias("k"), "docs", "source_size", "target"), "k")
+    want = F.col("n") * F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    rated = met.withColumn("whole", F.floor(want)).withColumn("p", F.when(F.col("size") > 0, want - F.floor(want)).otherwise(0.0))
     shards = F.ceil(F.col("docs") / leaf)
-    leaves = rated.withColumn("shard", F.pmod(F.xxhash64("id", "size", "row"), shards)).select("row", "id", "source", "size", "whole", "p", "shard")
+    leaves = rated.withColumn("shard", F.pmod(F.xxhash64("id", "size", "key"), shards)).select("row", "id", "source", "size", "key", "n", "whole", "p", "shard")
     most = goals.agg(F.max(F.ceil(F.col("docs") / leaf))).first()[0] or 1
     level = materialize(leaves.groupBy("source", "shard").applyInArrow(_rounding(most <= 1), _FIELDS), "rounded")
     open_ = "p > 0 and p < 1"
@@ -144,25 +144,42 @@ def copies(docs: DataFrame, row_col: str, id_col: str, source_col: str, size_col
         up = level.where(open_).withColumn("shard", F.floor(F.col("shard") / fan))
         level = materialize(up.groupBy("source", "shard").applyInArrow(_rounding(most <= 1), _FIELDS), "residuals")
         done = done.unionByName(level.where(f"not ({open_})"))
-    taken = done.select("row", "id", "source", "size", (F.col("whole") + F.col("p").cast("long")).alias("copies"), key(F.col("source")).alias("k"))
-    return taken.join(goals.select(key(F.col("source")).alias("k"), "source_size", "target"), "k").drop("k")
+    taken = done.select("row", "id", "source", "size", "key", "n", (F.col("whole") + F.col("p").cast("long")).alias("copies"))
+    found = taken.where("n = 1").select("row", "id", "source", "size", "copies").unionByName(_spread(slim, taken.where("n > 1")))
+    return found.withColumn("k", named(F.col("source"))).join(goals.select(named(F.col("source")).alias("k"), "source_size", "target"), "k").drop("k", "source")
+
+
+def _spread(slim: DataFrame, taken: DataFrame) -> DataFrame:
+    """The rows behind entries of several rows. Rows are numbered within partitions of the table, and these by their counts, so that no entry meets in one task."""
+    one = taken.select(F.col("id").alias("_i"), F.col("source").alias("_s"), F.col("size").alias("_z"), F.col("key").alias("_k"), F.col("row").alias("entry"), "n", "copies")
+    same = F.col("id").eqNullSafe(F.col("_i")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_z")) & (F.col("key") == F.col("_k"))
+    rows = slim.join(one, same).select("row", "id", "source", "size", "entry", "n", "copies", F.shiftright("row", 33).alias("part"))
+    parts = rows.groupBy("entry", "part").agg(F.count(F.lit(1)).alias("c"))
+    before = parts.select("entry", "part", (F.sum("c").over(W.partitionBy("entry").orderBy("part")) - F.col("c")).alias("before"))
+    number = F.row_number().over(W.partitionBy("entry", "part").orderBy("row")) - 1
+    placed = rows.withColumn("number", number).join(before, ["entry", "part"])
+    extra = (F.col("before") + F.col("number") < F.col("copies") % F.col("n")).cast("long")
+    return placed.select("row", "id", "source", "size", (F.floor(F.col("copies") / F.col("n")) + extra).alias("copies"))
+
+
+def sized(text: Column) -> Column:
+    """Words of a text, as ``size``: runs of anything but ASCII white space."""
+    return F.coalesce(F.regexp_count(text.cast("string"), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("size")
 
 
-def sized(docs: DataFrame, text_col: str = "text") -> Column:
-    """Words of a text: runs of anything but ASCII white space."""
-    return F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+def _slim(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> list[Column]:
+    text = F.col(f"`{text_col}`")
+    return [F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").alias("source"), sized(text), F.xxhash64(text.cast("string")).alias("key"), F.monotonically_increasing_id().alias("row")]
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """Per row of ``docs``: id, ``size``, ``source_size``, ``target``, ``copies`` and ``taken`` (words, repeats counted)."""
-    slim = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), sized(docs, text_col).alias("size"), F.monotonically_increasing_id().alias("row"))
-    found = copies(materialize(slim, "mix"), "row", "id", "source", "size")
+    found = copies(materialize(docs.select(*_slim(docs, id_col, text_col, source_col)), "mix"))
     return found.select(F.col("id").alias(id_col), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it; columns as they are."""
-    packed = docs.select(F.struct("*").alias("doc"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), sized(docs, text_col).alias("size"), F.monotonically_increasing_id().alias("row"))
-    whole = materialize(packed, "mix-whole")
-    found = copies(whole, "row", "id", "source", "size").select("row", "copies").where("copies > 0")
+    whole = materialize(docs.select(F.struct("*").alias("doc"), *_slim(docs, id_col, text_col, source_col)), "mix-whole")
+    found = copies(whole).select("row", "copies").where("copies > 0")
     return whole.join(found, "row").select("doc", F.explode(F.expr("sequence(1L, copies)"))).select("doc.*")
