@@ -1,27 +1,31 @@
 """Exact top-k inner product search with block-at-a-time pruning.
 
-Rows are cut into document ranges, and each range into blocks with the largest and smallest value of every
+Rows are cut into document ranges (the batches of a scan), and each range into blocks with the largest and smallest value of every
 component. For a query, a block's bound is the sum over components of the larger of the query's value times
 either; blocks are scored through their forward index (the block's vectors) from the highest bound
-down until the bound falls below the k-th best score. Ranges meet chunks of queries in units of bounded size; each unit
+down until the bound falls below the k-th best score. That score is carried from range to range, and begins with the k-th
+best of a few rows that the driver has seen. Queries go with the tasks, a bounded number in each pass over the documents, which are neither shuffled nor copied; a task
 returns at most k rows for a query.
 
 Defined cases: vectors that are null or hold null, NaN or infinite components take no part; shorter vectors count as ended by zeros; ids
 may repeat, each row being a row of its own (a query leaves out itself alone); of equal scores the smaller id comes
-first, null ids last; scores past the range of a long are an error of the input and wrap; an empty table gives an empty result.
+first, null ids last; scores past the range of a long are an error of the input and wrap; an empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import folder, materialize
 
-RANGE, BLOCK, QUERIES = 8192, 256, 1024
+#: Rows of a block, queries that one pass over the documents takes, and rows that give the first bounds of the k-th scores.
+BLOCK, QUERIES, SEED = 256, 4096, 2048
 
 
 def _matrix(column: pa.ChunkedArray, dim: int | None = None) -> np.ndarray:
@@ -38,64 +42,97 @@ def _matrix(column: pa.ChunkedArray, dim: int | None = None) -> np.ndarray:
     return out
 
 
-def search(docs: np.ndarray, doc_row: np.ndarray, doc_id: np.ndarray, query: np.ndarray, query_row: int, k: int, bound: np.ndarray, blocks: list[slice]) -> tuple[np.ndarray, np.ndarray]:
-    """Places and scores of one query's best rows. ``doc_id`` has the largest long for null."""
-    best, score = np.zeros(0, np.int64), np.zeros(0, docs.dtype)
-    for b in np.argsort(-bound, kind="stable"):
-        if len(best) == k and bound[b] < score[-1]:
+class Best:
+    """The best rows of one query so far: places, ids, scores, the best first; ``floor`` is a score that the k-th best reaches at least."""
+
+    def __init__(self, k: int, floor: float):
+        self.k, self.floor = k, floor
+        self.row, self.id, self.score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+
+    def least(self) -> float:
+        return max(self.floor, self.score[-1]) if len(self.row) == self.k else self.floor
+
+    def add(self, row: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
+        use = score >= self.least()
+        row, ids, score = (np.concatenate(p) for p in ((self.row, row[use]), (self.id, ids[use]), (self.score, score[use])))
+        order = np.lexsort((row, ids, -score))[: self.k]
+        self.row, self.id, self.score = row[order], ids[order], score[order]
+
+
+def search(docs: np.ndarray, row: np.ndarray, ids: np.ndarray, query: np.ndarray, own: int, bound: np.ndarray, best: Best) -> int:
+    """Scores the blocks of a range, the highest bound first, until the bounds fall below the k-th score; returns how many it scored. ``ids`` has the largest long for null."""
+    done = 0
+    for b in np.argsort(-bound, kind="stable").tolist():
+        if bound[b] < best.least():
             break
-        at = np.arange(blocks[b].start, blocks[b].stop)
-        new = docs[blocks[b]] @ query
-        use = doc_row[at] != query_row
-        if len(best) == k:
-            use &= new >= score[-1]
-        best, score = np.concatenate([best, at[use]]), np.concatenate([score, new[use]])
-        order = np.lexsort((doc_row[best], doc_id[best], -score))[:k]
-        best, score = best[order], score[order]
-    return best, score
+        at = slice(b * BLOCK, (b + 1) * BLOCK)
+        use = row[at] != own
+        best.add(row[at][use], ids[at][use], (docs[at] @ query)[use])
+        done += 1
+    return done
+
+
+def bounds(docs: np.ndarray, queries: np.ndarray) -> np.ndarray:
+    """For every query and block of a range the sum over components of the largest products: no row of the block scores higher."""
+    starts = np.arange(0, len(docs), BLOCK)
+    high, low = np.maximum.reduceat(docs, starts, axis=0), np.minimum.reduceat(docs, starts, axis=0)
+    return np.maximum(queries, 0) @ high.T + np.minimum(queries, 0) @ low.T
+
+
+def _fitting(*sides: np.ndarray) -> list[np.ndarray]:
+    """Matrices of one width; as doubles where all sums of products are exact in them."""
+    dim = max(s.shape[1] for s in sides)
+    sides = [np.pad(s, ((0, 0), (0, dim - s.shape[1]))) for s in sides]
+    top = np.prod([float(np.abs(s).max(initial=0)) for s in sides]) * max(dim, 1)
+    return [s.astype(np.float64) for s in sides] if top < 2**53 else sides
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 1024) -> DataFrame:
     """``query_id, rank, id, score`` over components ``floor(scale * x)``; ``is_query`` is a condition on ``id``."""
-    whole = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("e"))
+    whole = vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vector_col}`").cast("array<double>").alias("e"))
     finite = "e is not null and forall(e, x -> x is not null and not isnan(x) and abs(x) < double('infinity'))"
     quantised = whole.where(finite).select("id", F.expr(f"transform(e, x -> floor({scale} * x))").alias("v"), F.monotonically_increasing_id().alias("row"))
-    rows = materialize(quantised.withColumn("part", F.shiftright("row", 33)), "vectors")
-    # one number for each partition of the scan comes to the driver
-    sizes = sorted((r["part"], r["count"]) for r in rows.groupBy("part").count().collect())
-    starts, ranges = [], 0
-    for part, n in sizes:
-        starts.append((part, ranges))
-        ranges += -(-n // RANGE)
+    rows = materialize(quantised, "vectors")
     asked = rows.where(is_query)
-    chunks = max(1, -(-asked.count() // QUERIES))
-    spark = vectors.sparkSession
-    base = spark.createDataFrame(starts, "part long, base long")
-    ranged = rows.join(F.broadcast(base), "part").withColumn("range", F.col("base") + F.floor(F.col("row").bitwiseAND((1 << 33) - 1) / RANGE))
-    docs = ranged.select("row", "id", "v", F.explode(F.expr(f"transform(sequence(0, {chunks - 1}), c -> range * {chunks} + c)")).alias("unit"))
-    queries = asked.withColumn("chunk", F.pmod(F.xxhash64("row"), F.lit(chunks)))
-    queries = queries.select(F.col("row").alias("query_row"), F.col("id").alias("query_id"), F.col("v").alias("q"), F.explode(F.expr(f"transform(sequence(0, {max(ranges, 1) - 1}), r -> cast(r as bigint) * {chunks} + chunk)")).alias("asked"))
-
-    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[list] = [[], [], [], [], []]
-        if left.num_rows and right.num_rows:
-            dim = max(_matrix(left["v"]).shape[1], _matrix(right["q"]).shape[1])
-            d, q = _matrix(left["v"], dim), _matrix(right["q"], dim)
-            top = float(np.abs(d).max(initial=0)) * float(np.abs(q).max(initial=0)) * max(dim, 1)
-            if top < 2**53:
-                d, q = d.astype(np.float64), q.astype(np.float64)
-            row, ids = left["row"].to_numpy(), left["id"].fill_null(2**63 - 1).to_numpy()
-            first = np.argsort(row, kind="stable")
-            d, row, ids = d[first], row[first], ids[first]
-            blocks = [slice(a, min(a + BLOCK, len(d))) for a in range(0, len(d), BLOCK)]
-            high, low = np.stack([d[b].max(axis=0) for b in blocks]), np.stack([d[b].min(axis=0) for b in blocks])
-            bounds = np.maximum(q, 0) @ high.T + np.minimum(q, 0) @ low.T
-            for i, (own, name) in enumerate(zip(right["query_row"].to_pylist(), right["query_id"].to_pylist(), strict=True)):
-                best, score = search(d, row, ids, q[i], own, k, bounds[i], blocks)
-                for column, values in zip(out, ([own] * len(best), [name] * len(best), row[best].tolist(), ids[best].tolist(), score.astype(np.int64).tolist()), strict=True):
-                    column.extend(values)
-        return pa.table({n: pa.array(v, pa.int64()) for n, v in zip(("query_row", "query_id", "row", "id", "score"), out, strict=True)})
-
-    found = docs.groupBy("unit").cogroup(queries.groupBy("asked")).applyInArrow(meet, "query_row long, query_id long, row long, id long, score long")
+    chunks = -(-asked.count() // QUERIES)
+    seed = rows.limit(SEED).toArrow()  # any rows will do: their k-th best score bounds that of all rows from below
+    path = folder(vectors.sparkSession, "topk")
+    fields = "query_row long, query_id long, row long, id long, score long"
+    for chunk in range(chunks):
+        # QUERIES rows, about, come to the driver and go with the tasks of one pass; the documents stay where they are
+        found = rows.mapInArrow(_meeting(asked.where(F.pmod(F.xxhash64("row"), F.lit(chunks)) == chunk).toArrow(), seed, k), fields)
+        found.write.mode("append").parquet(path)
+    if not chunks:
+        rows.select(*[F.lit(0).cast("long").alias(c.split()[0]) for c in fields.split(", ")]).where("false").write.parquet(path)
     rank = F.row_number().over(W.partitionBy("query_row").orderBy(F.desc("score"), "id", "row"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", F.when(F.col("id") < 2**63 - 1, F.col("id")).alias("id"), "score")
+    ranked = vectors.sparkSession.read.schema(fields).parquet(path).withColumn("rank", rank).where(F.col("rank") <= k)
+    return ranked.select("query_id", "rank", F.when(F.col("id") < 2**63 - 1, F.col("id")).alias("id"), "score")
+
+
+def _meeting(asked: pa.Table, seed: pa.Table, k: int):
+    """A function for one pass: batches of documents are ranges; the best rows of every query are carried from range to range."""
+    own, name, q0 = asked["row"].to_numpy(), asked["id"].to_pylist(), _matrix(asked["v"])
+    floors = np.full(len(own), -np.inf)
+    if seed.num_rows > k and len(own):
+        d, q = _fitting(_matrix(seed["v"]), q0)
+        for at in range(0, len(own), 256):
+            score = q[at : at + 256] @ d.T
+            same = own[at : at + 256, None] == seed["row"].to_numpy()[None, :]
+            score = np.where(same, np.iinfo(np.int64).min // 2, score)
+            floors[at : at + 256] = np.partition(score, -k, axis=1)[:, -k]
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = [Best(k, f) for f in floors.tolist()]
+        for batch in batches:
+            if batch.num_rows:
+                d, q = _fitting(_matrix(batch["v"]), q0)
+                row, ids = batch["row"].to_numpy(), batch["id"].fill_null(2**63 - 1).to_numpy()
+                limit = bounds(d, q)
+                for i, b in enumerate(best):
+                    search(d, row, ids, q[i], own[i], limit[i], b)
+        n = [len(b.row) for b in best]
+        values = [np.repeat(own, n), pa.array([name[i] for i, c in enumerate(n) for _ in range(c)], pa.int64())]
+        values += [np.concatenate([np.zeros(0, np.int64), *(getattr(b, c) for b in best)]).astype(np.int64) for c in ("row", "id", "score")]
+        yield pa.RecordBatch.from_arrays([pa.array(v) for v in values], ["query_row", "query_id", "row", "id", "score"])
+
+    return meet

@@ -6,7 +6,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from doclattice.llm import chat, mixing, packing
-from doclattice.llm.shared import materialize
 from doclattice.llm.topk import top_k
 
 
@@ -23,7 +22,7 @@ def brute_top(rows, k=10):
 def test_top_k(spark, monkeypatch):
     import doclattice.llm.topk as t
 
-    for name, value in (("RANGE", 40), ("BLOCK", 7), ("QUERIES", 2)):
+    for name, value in (("BLOCK", 7), ("QUERIES", 2), ("SEED", 30)):
         monkeypatch.setattr(t, name, value)
     r = np.random.default_rng(3)
     rows = [(int(i), [float(x) for x in r.normal(size=6)]) for i in range(0, 900, 5)]
@@ -31,6 +30,27 @@ def test_top_k(spark, monkeypatch):
     got = top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3), F.col("id") % 100 == 0)
     assert sorted(map(tuple, got.collect()), key=str) == brute_top(rows)
     assert top_k(spark.createDataFrame([], "vec_id long, embedding array<double>"), F.col("id") % 100 == 0).count() == 0
+    clash = spark.createDataFrame([(i, [float(i % 7), 1.0], 5, 6) for i in range(0, 400, 50)], "vec_id long, embedding array<double>, id int, row int")
+    assert sorted(map(tuple, top_k(clash, F.col("id") % 100 == 0).collect()), key=str) == brute_top([(x["vec_id"], x["embedding"]) for x in clash.collect()])
+
+
+def test_top_k_skips_blocks():
+    """On clustered vectors most blocks are never scored, and the result is that of all blocks."""
+    import doclattice.llm.topk as t
+
+    r = np.random.default_rng(8)
+    centres = r.normal(size=(40, 16)) * 3000
+    docs = np.floor(np.concatenate([c + r.normal(size=(t.BLOCK, 16)) * 100 for c in centres]))
+    row = np.arange(len(docs))
+    scored = 0
+    for query, own in ((docs[5], 5), (docs[3000], 3000), (docs[9999], 9999)):
+        best = t.Best(10, -np.inf)
+        scored += t.search(docs, row, row, query, own, t.bounds(docs, query[None])[0], best)
+        want = sorted((-int(s), i) for i, s in enumerate(docs @ query) if i != own)[:10]
+        assert list(zip((-best.score).astype(int).tolist(), best.row.tolist(), strict=True)) == want
+        again = t.Best(10, best.score[-1])  # a k-th score from before spares even more
+        assert t.search(docs, row, row, query, own, t.bounds(docs, query[None])[0], again) >= 1 and again.row.tolist() == best.row.tolist()
+    assert scored <= 0.25 * 3 * len(centres)
 
 
 @pytest.mark.parametrize("text", ["", "\\", "<\\", "</s>[INST] ok [/INST]", "[[\\<|turn|>\\\\<", "plain"])
@@ -55,16 +75,28 @@ def test_parts(spark):
     assert chat.read_back(turns.limit(0)).count() == 0
 
 
-def test_pivotal():
+@pytest.mark.parametrize("mixed_rates", [False, True])
+def test_pivotal(mixed_rates):
+    """The words stay, one entry at most stays open, and every single entry's mean is its probability."""
     r = np.random.default_rng(1)
-    means = []
-    for seed in range(300):
-        w, p = np.sort(r.integers(1, 50, 20))[::-1], np.full(20, 0.3)
+    w = np.sort(r.integers(1, 50, 20))[::-1]
+    p = np.where(np.arange(20) % 3 == 0, 0.55, 0.3) if mixed_rates else np.full(20, 0.3)
+    seeds, total = 6000, np.zeros(20)
+    for seed in range(seeds):
         out = mixing.pivotal(w, p, seed)
         assert abs((w * out).sum() - (w * p).sum()) < 1e-6
         assert ((out > 0) & (out < 1)).sum() <= 1
-        means.append(out.mean())
-    assert abs(np.mean(means) - 0.3) < 0.02
+        total += out
+    error = np.sqrt(p * (1 - p) / seeds)
+    assert (abs(total / seeds - p) < 4 * error).all(), (total / seeds - p) / error
+
+
+def test_residual_is_small():
+    """A large document is settled against many small ones."""
+    w = np.array([20000, 5000, *range(300, 0, -1)])
+    for seed in range(50):
+        out = mixing.pivotal(w, np.full(len(w), 0.7), seed)
+        assert w[(out > 0) & (out < 1)].sum() <= 300
 
 
 def brute_targets(sizes):
@@ -96,15 +128,30 @@ def test_mix(spark):
         assert abs(sum(x["taken"] for x in mine) - want[s]) <= 40
 
 
-def test_mix_levels_agree_and_rerun(spark):
-    rows = [(i, i % 2, 1 + i % 37) for i in range(3000)]
-    slim = materialize(spark.createDataFrame(rows, "id long, s long, size long").selectExpr("id", "cast(s as string) source", "size", "id as row"), "t")
-    a = mixing.copies(slim, "row", "id", "source", "size", leaf=16, fan=4).collect()
-    b = mixing.copies(slim.repartition(7), "row", "id", "source", "size", leaf=16, fan=4).collect()
-    assert len(a) == 3000 and {(r["row"], r["copies"]) for r in a} == {(r["row"], r["copies"]) for r in b}
-    for s in ("0", "1"):
-        mine = [r for r in a if r["source"] == s]
-        assert abs(sum(r["copies"] * r["size"] for r in mine) - mine[0]["target"]) <= 37
+def repeated(spark, n=3000):
+    """Documents of two sources and one that is a third of all, in any order."""
+    rows = [(i, "w " * (1 + i % 37), str(i % 2)) for i in range(n)] + [(7, "w w w", "0")] * (n // 2) + [(None, None, None)] * 5
+    return spark.createDataFrame(rows, "doc_id long, text string, source string")
+
+
+def test_mix_levels_agree_and_rerun(spark, monkeypatch):
+    """Results are the same however the rows are laid out, also with several levels of shards."""
+    docs = repeated(spark)
+    monkeypatch.setattr(mixing.copies, "__defaults__", (16, 4))
+    a, b = (sorted(map(str, mixing.mix(docs.repartition(n)).collect())) for n in (3, 8))
+    assert a == b and len(a) == docs.count()
+    assert sorted(map(str, mixing.mixed(docs.repartition(3)).collect())) == sorted(map(str, mixing.mixed(docs.repartition(8)).collect()))
+    got = mixing.mix(docs).join(docs.distinct(), "doc_id").toPandas()
+    assert got.copies.max() <= 2 and got[got.doc_id == 7].query("size == 3").copies.agg(["min", "max"]).diff().iloc[-1] <= 1
+    for source, mine in mixing.mix(docs.where("doc_id <> 7")).join(docs.distinct(), "doc_id").toPandas().groupby("source"):
+        assert abs(mine.taken.sum() - mine.target.iloc[0]) <= 37, source
+
+
+def test_pack_layout(spark, monkeypatch):
+    monkeypatch.setattr(packing.pack, "__defaults__", ("doc_id", 5, 300, 64))
+    docs = repeated(spark)
+    a, b = (sorted(map(str, packing.pack_documents(docs.repartition(n)).collect())) for n in (3, 8))
+    assert a == b and len(a) == docs.count()
 
 
 def test_mix_odd(spark, odd, none):
@@ -123,15 +170,14 @@ def test_boundaries():
         assert padding == cost(ends) == min(cost([*s, x[-1]]) for q in range(b) for s in itertools.combinations(x[:-1].tolist(), q))
 
 
-def test_pack(spark, odd, none, monkeypatch):
-    monkeypatch.setattr(packing, "SHARD", 16)
+def test_pack(spark, odd, none):
     rows = [(i % 90, "w " * (i * i % 113)) for i in range(700)]
-    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), packing.sized(None, "text"), buckets=5, budget=300).toPandas()
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), packing.sized(F.col("text")), buckets=5, budget=300, shard=16).toPandas()
     assert sorted(got.n_tokens) == sorted(len(t.split()) for _, t in rows)
     assert (got.n_tokens <= got.bucket_length).all() and not got.duplicated(["bucket", "batch", "slot"]).any()
     per = got.groupby(["bucket", "bucket_length", "batch"]).size().reset_index(name="n")
     assert (per.n * per.bucket_length <= np.maximum(300, per.bucket_length)).all()
-    assert per.groupby("bucket").apply(lambda g: (g.n < max(1, 300 // max(1, g.bucket_length.iloc[0]))).sum() <= 1).all()  # all batches but one are full
+    assert ((per.n < np.maximum(1, 300 // np.maximum(1, per.bucket_length))).groupby(per.bucket).sum() <= 1).all()  # all batches but one are full
     assert packing.pack_documents(odd).count() == odd.count()
     assert packing.pack_documents(none).count() == 0
     many = packing.pack(spark.createDataFrame([(i, 70000 + 977 * i) for i in range(50)], "doc_id long, n long"), F.col("n")).collect()
