@@ -8,7 +8,7 @@ of table look-ups, one table of 256 rows for each place in the filter.
 Defined cases: a null or empty text is one chunk of padding and gets a score like any other; a text of any length is read whole,
 a few hundred chunks at a time; labels that are null don't count, of several labels for one id the smallest does; repeated rows each
 get their score; without labels of both kinds every score is the share of label 1 (1 if there is no label at all); an empty table gives
-an empty result.
+an empty result; other columns are kept, whatever their names, but one named like the score is replaced by it.
 """
 
 from __future__ import annotations
@@ -21,9 +21,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CHUNK, WIDTH, EMBED, FILTERS, HIDDEN = 128, 6, 8, 24, 16
-#: Bounds of the training sample: labelled documents, and chunks of each, evenly spread over the text.
-SAMPLE_DOCS, SAMPLE_CHUNKS = 2400, 48
-STEPS, DOCS_A_STEP, CHUNKS_A_STEP, RATE = 900, 64, 6, 0.004
+#: Bound of the training sample: labelled documents, whose whole texts are learned from.
+SAMPLE_DOCS = 2400
+STEPS, DOCS_A_STEP, RATE = 300, 32, 0.01
 CUT = 0.3
 
 
@@ -82,8 +82,35 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
 
 
+def gradients(w: dict[str, np.ndarray], x: np.ndarray, of: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+    """Mean log loss over documents with labels ``y``, and its gradients. ``x`` has the chunks of all documents, ``of`` the document of each. The pooled maximum passes its gradient to one place."""
+    net, n = Network(w), np.bincount(of, minlength=len(y))
+    z = net.pool(x)
+    place = z.argmax(axis=1)
+    top = np.take_along_axis(z, place[:, None], axis=1)[:, 0] + w["fb"]
+    a = np.maximum(top, 0)
+    h = np.maximum(a @ w["v"] + w["vb"], 0)
+    doc = np.zeros((len(y), HIDDEN))
+    np.add.at(doc, of, h / n[of, None])
+    p = 1 / (1 + np.exp(-np.clip(doc @ w["o"] + w["ob"][0], -30, 30)))
+    loss = -np.mean(np.log(np.where(y, p, 1 - p)))
+    d = (p - y) / len(y)
+    g = {"ob": np.array([d.sum()]), "o": doc.T @ d}
+    dh = (d[:, None] * w["o"])[of] / n[of, None] * (h > 0)
+    g |= {"vb": dh.sum(axis=0), "v": a.T @ dh}
+    da = (dh @ w["v"].T) * (top > 0)
+    g |= {"fb": da.sum(axis=0), "filter": np.zeros_like(w["filter"]), "embed": np.zeros_like(w["embed"])}
+    column = np.arange(FILTERS)
+    for j in range(WIDTH):
+        byte = np.take_along_axis(x, place + j, axis=1).astype(np.int64)
+        table = np.bincount((byte * FILTERS + column).ravel(), da.ravel(), 256 * FILTERS).reshape(256, FILTERS)
+        g["filter"][j] = w["embed"].T @ table
+        g["embed"] += table @ w["filter"][j].T
+    return float(loss), g
+
+
 def train(docs: list[tuple[int, np.ndarray]], seed: int = 7, steps: int = STEPS) -> dict[str, np.ndarray]:
-    """Weights from (label, chunks of one document). Adam on the log loss; the pooled maximum passes its gradient to one place."""
+    """Weights from (label, all chunks of one document), by Adam on the log loss; a step takes whole documents."""
     r, w = np.random.default_rng(seed), Network.fresh(seed)
     share = np.mean([d[0] for d in docs]) if docs else 1.0
     if share in (0.0, 1.0):
@@ -92,32 +119,10 @@ def train(docs: list[tuple[int, np.ndarray]], seed: int = 7, steps: int = STEPS)
     by = [[c for label, c in docs if label == k] for k in (0, 1)]
     first, second = {k: np.zeros_like(v) for k, v in w.items()}, {k: np.zeros_like(v) for k, v in w.items()}
     for step in range(1, steps + 1):
-        net = Network(w)
         y = np.arange(DOCS_A_STEP) % 3 > 0  # a third from label 0
         picked = [by[int(k)][r.integers(len(by[int(k)]))] for k in y]
-        picked = [c[r.choice(len(c), CHUNKS_A_STEP, replace=False)] if len(c) > CHUNKS_A_STEP else c for c in picked]
         of = np.repeat(np.arange(len(picked)), [len(c) for c in picked])
-        x, n = np.concatenate(picked), np.bincount(of, minlength=len(picked))
-        z = net.pool(x)
-        place = z.argmax(axis=1)
-        top = np.take_along_axis(z, place[:, None], axis=1)[:, 0] + w["fb"]
-        a = np.maximum(top, 0)
-        h = np.maximum(a @ w["v"] + w["vb"], 0)
-        doc = np.zeros((len(picked), HIDDEN))
-        np.add.at(doc, of, h / n[of, None])
-        p = 1 / (1 + np.exp(-np.clip(doc @ w["o"] + w["ob"][0], -30, 30)))
-        d = (p - y) / len(y)
-        g = {"ob": np.array([d.sum()]), "o": doc.T @ d}
-        dh = (d[:, None] * w["o"])[of] / n[of, None] * (h > 0)
-        g |= {"vb": dh.sum(axis=0), "v": a.T @ dh}
-        da = (dh @ w["v"].T) * (top > 0)
-        g |= {"fb": da.sum(axis=0), "filter": np.zeros_like(w["filter"]), "embed": np.zeros_like(w["embed"])}
-        column = np.arange(FILTERS)
-        for j in range(WIDTH):
-            byte = np.take_along_axis(x, place + j, axis=1).astype(np.int64)
-            table = np.bincount((byte * FILTERS + column).ravel(), da.ravel(), 256 * FILTERS).reshape(256, FILTERS)
-            g["filter"][j] = w["embed"].T @ table
-            g["embed"] += table @ w["filter"][j].T
+        _, g = gradients(w, np.concatenate(picked), of, y)
         rate = RATE * min(1, 2 * (1 - step / (steps + 1)))
         for k in w:
             g[k] = g[k] + 1e-5 * w[k]
@@ -140,16 +145,15 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, id_col: str = "do
     texts = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias("t")).join(F.broadcast(ids), id_col)
     texts = texts.groupBy(id_col).agg(F.min("y").alias("y"), F.min(F.coalesce("t", F.lit(""))).alias("t"))
 
-    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for text in batch["t"].cast(pa.binary()).to_pylist():
                 data, at = np.frombuffer(text, np.uint8), chunk_starts(len(text))
-                at = at[np.unique(np.linspace(0, len(at) - 1, SAMPLE_CHUNKS).astype(int))]
                 out.append(_cut(data, at, np.full(len(at), len(data))).tobytes())
             yield pa.RecordBatch.from_arrays([batch[id_col], batch["y"], pa.array(out, pa.binary())], [id_col, "y", "c"])
 
-    rows = sorted(texts.mapInArrow(sample, f"{id_col} long, y int, c binary").collect(), key=lambda x: x[0])
+    rows = sorted(texts.mapInArrow(cut, f"{id_col} long, y int, c binary").collect(), key=lambda x: x[0])
     net = Network(train([(x[1], np.frombuffer(x[2], np.uint8).reshape(-1, CHUNK)) for x in rows]))
     if share not in (None, 0.0, 1.0):  # the steps see a third of label 0
         net.w["ob"] = net.w["ob"] + np.log(share / (1 - share)) - np.log(2)

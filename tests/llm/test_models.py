@@ -1,3 +1,4 @@
+import hashlib
 import itertools
 
 import numpy as np
@@ -34,14 +35,54 @@ def test_language_held_out(spark):
     assert np.mean([r["lang_pred"] == truth[r["doc_id"]] for r in got]) > 0.98
 
 
+SWITCHED = [(0, d, ["the", "thing", "and", "that"]) for d in range(3)] * 14 + [(1, d, ["der", "einheit", "und", "nicht"]) for d in range(3, 6)] * 14
+
+
 def test_code_switched_words():
-    lines = [(0, ["the", "thing", "and", "that"]), (1, ["der", "einheit", "und", "nicht"])] * 40
-    field = L.train(lines, ["en", "de"])
+    field = L.train(SWITCHED, ["en", "de"])
     coded, line, _ = L.split_words(pa.array(["the thing and der einheit und nicht"]))
-    gamma = field.marginals(field.emissions(coded.dictionary)[coded.indices.to_numpy()], line)[0]
+    emit = field.emissions(coded.dictionary)[coded.indices.to_numpy()]
+    gamma = L.forward_backward(emit, line, field.trans, field.start, False)[0]
     assert gamma.argmax(axis=1).tolist() == [0, 0, 0, 1, 1, 1, 1]
 
 
+def test_lexicon():
+    """Entries are the languages in which two documents or more hold the word."""
+    lexicon = L.Lexicon([(0, 0, ["a", "b", "b"]), (0, 1, ["b", "c"]), (1, 2, ["b", "c"]), (1, 3, ["b", "c"]), (2, 4, ["c"])])
+    at, labels = lexicon.entries(pa.array(["x", "b", "c", "a", "b"]))
+    assert list(zip(at.tolist(), labels.tolist(), strict=True)) == [(1, 0), (1, 1), (2, 1), (4, 0), (4, 1)]
+    assert [len(x) for x in L.Lexicon([]).entries(pa.array(["a"]))] == [0, 0]
+
+
+def test_emissions_brute_force():
+    """A word's emission is the sum of the weights of its affixes, n-grams and lexicon entries, each hashed byte by byte."""
+    field = L.train(SWITCHED, ["en", "de"])
+    field.weights = np.random.default_rng(4).normal(size=field.weights.shape).astype(np.float32)
+    words = ["thing", "der", "x", "\u00e9t\u00e9", "unseen", "that"]
+
+    def slot(kind, part):
+        h = kind * 0x1000193 + len(part)
+        for b in part:
+            h = (h ^ b) * 0x9E3779B97F4A7C15 % 2**64
+            h ^= h >> 29
+        return h * 0x9E3779B97F4A7C15 % 2**64 >> 64 - L.BITS
+
+    for word, got in zip(words, field.emissions(pa.array(words)), strict=True):
+        data = word.encode()
+        ids = [slot(1, data[i : i + n]) for n in (2, 3) for i in range(len(data) - n + 1)]
+        ids += [slot(kind, part) for n in (1, 2, 3) if len(data) >= n for kind, part in ((2, data[:n]), (3, data[-n:]))]
+        ids += [(1 << L.BITS) + y for y, known in ((0, ("the", "thing", "and", "that")), (1, ("der", "einheit", "und", "nicht"))) if word in known]
+        assert np.allclose(got, field.weights[ids].astype(float).sum(axis=0), atol=1e-4)
+
+
+def test_many_languages():
+    """No language is left out: with more of them the table of hashed features has fewer rows."""
+    words = [["".join(chr(97 + b % 26) for b in hashlib.sha256(f"{y}{s}".encode()).digest()[:8]) for s in "ab"] for y in range(300)]
+    field = L.train([(y, 2 * y + d, words[y]) for y in range(300) for d in range(2)], [f"l{y:03d}" for y in range(300)])
+    assert field.weights.size <= L.WEIGHTS + 300 * 300
+    assert field.predict(pa.array([" ".join(w) for w in words]))[0] == field.labels
+
+
 def test_language_odd(spark, odd, none):
     field = L.fit(odd, F.lit(True))
     got = L.predict(odd, field).collect()
@@ -51,15 +92,48 @@ def test_language_odd(spark, odd, none):
     assert L.predict(none, field).count() == 0
 
 
+def chunks_of(text):
+    at = Q.chunk_starts(len(text))
+    return Q._cut(np.frombuffer(text, np.uint8), at, np.full(len(at), len(text)))
+
+
 def test_gradients_by_differences():
-    """One step moves the loss as the derivative says: scores separate two kinds of text."""
-    good, bad = b"Some words of plain text. ", b"### $$$ %%% &&& *** "
-    docs = [(k, Q._cut(np.frombuffer(t * 20, np.uint8), Q.chunk_starts(len(t) * 20), np.full(len(Q.chunk_starts(len(t) * 20)), len(t) * 20))) for k, t in ((1, good), (0, bad)) for _ in range(4)]
+    r, w = np.random.default_rng(2), Q.Network.fresh(3)
+    docs = [bytes(r.integers(32, 127, n).astype(np.uint8)) for n in (5, 300, 700)]
+    parts = [chunks_of(t) for t in docs]
+    x, of, y = np.concatenate(parts), np.repeat(np.arange(3), [len(p) for p in parts]), np.array([True, False, True])
+    w["embed"] = w["embed"].astype(np.float32).astype(float)
+    _, g = Q.gradients(w, x, of, y)
+    for name, step in (("o", 1e-4), ("v", 1e-4), ("vb", 1e-4), ("fb", 1e-3), ("filter", 1e-3), ("embed", 1e-3)):
+        for place in np.argsort(-np.abs(g[name]).ravel())[:4]:
+            sides = []
+            for sign in (1, -1):
+                moved = {k: v.copy() for k, v in w.items()}
+                moved[name].ravel()[place] += sign * step
+                sides.append(Q.gradients(moved, x, of, y)[0])
+            assert abs((sides[0] - sides[1]) / (2 * step) - g[name].ravel()[place]) < 0.05 * abs(g[name]).max() + 1e-5, name
+
+
+def test_training_separates():
+    docs = [(k, chunks_of(t * 20)) for k, t in ((1, b"Some words of plain text. "), (0, b"### $$$ %%% &&& *** ")) for _ in range(4)]
     net = Q.Network(Q.train(docs, steps=60))
-    a, b = net.scores(pa.array([good * 5, bad * 5], pa.binary()))
+    a, b = net.scores(pa.array([b"Some words of plain text. " * 5, b"### $$$ %%% &&& *** " * 5], pa.binary()))
     assert a > 0.9 and b < 0.2
 
 
+def test_scores_brute_force():
+    """Scores are those of a plain convolution: every filter at every place of every chunk, one product at a time."""
+    net, r = Q.Network(Q.Network.fresh(5)), np.random.default_rng(6)
+    texts = [b"", b"abc", bytes(r.integers(0, 256, 128).astype(np.uint8)), bytes(r.integers(0, 256, 500).astype(np.uint8))]
+    for text, got in zip(texts, net.scores(pa.array(texts, pa.binary())), strict=True):
+        total, starts = np.zeros(Q.HIDDEN), range(0, max(len(text) - Q.WIDTH + 1, 1), Q.CHUNK - Q.WIDTH + 1)
+        for at in starts:
+            chunk = text[at : at + Q.CHUNK].ljust(Q.CHUNK, b"\0")
+            top = [max(sum(net.w["embed"][chunk[i + j]] @ net.w["filter"][j, :, f] for j in range(Q.WIDTH)) for i in range(Q.CHUNK - Q.WIDTH + 1)) for f in range(Q.FILTERS)]
+            total += np.maximum(np.maximum(np.array(top) + net.w["fb"], 0) @ net.w["v"] + net.w["vb"], 0)
+        assert abs(got - 1 / (1 + np.exp(-(total / len(starts) @ net.w["o"] + net.w["ob"][0])))) < 1e-4
+
+
 def test_scores_see_every_byte():
     net = Q.Network(Q.Network.fresh())
     text = b"abcdefgh " * 4000
