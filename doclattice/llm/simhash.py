@@ -5,10 +5,12 @@ fingerprints with the same population counts in each part of their 64 bits; two
 summed over the parts, can't hold a pair within the radius and are never compared. A tile beyond ``BLOCK``
 fingerprints is cut into blocks, so no task holds more than two blocks, and each pair of blocks returns
 a spanning forest of its links instead of the links: no link is lost, and a group of n copies costs n rows, not n * n.
+For removal (``keep_one``) the radius is wide, and links are verified by the exact similarity of the texts' sets of shingles.
 
 Defined cases: words are runs of anything but ASCII white space, A-Z lower-cased; a text with fewer words than
 a shingle is one shingle; a text without words, or null, has fingerprint zero, which links like any other; repeated rows and
-equal ids each get their row; a null id never names a component unless all its ids are null; an empty table gives an empty result.
+equal ids each get their row; a null id never names a component unless all its ids are null; a text
+of any length is read whole; an empty table gives an empty result; other columns are kept (``keep_one``) or ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,12 +20,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import connected_components, materialize
+from .shingles import mix, similar, word_sets
 
 SEED, SHINGLE, RADIUS, BLOCK, ROWS = 42, 3, 2, 16384, 128
+#: Near-duplicates for removal: words a shingle, longs a fingerprint, radius of the candidates (at similarity 0.8, 19 of the 128 bits differ, give or take 4),
+#: least similarity, and bytes of text that a block holds, about.
+WIDE, LONGS, FAR, SIMILARITY, BYTES = 5, 2, 28, 0.8, 1 << 21
 
 
 def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
@@ -53,14 +59,41 @@ def with_fingerprint(docs: DataFrame, text_col: str, out: str, shingle: int = SH
     return docs.withColumn(out, of(F.col(text_col).cast("string")))
 
 
+def wide(flat: np.ndarray, counts: np.ndarray, words: int) -> np.ndarray:
+    """Fingerprints of ``words`` times 64 majority bits, one row for each set of hashes; ``flat`` has the sets one after the other. An empty set has zeros."""
+    out = np.zeros((len(counts), words), np.uint64)
+    some = np.flatnonzero(counts)
+    starts = (np.cumsum(counts) - counts)[some]
+    for w in range(words if len(some) else 0):
+        bits = np.unpackbits(mix(flat + np.uint64((w + 1) << 52)).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ones = np.add.reduceat(bits, starts, axis=0, dtype=np.int64)
+        out[some, w] = np.packbits(2 * ones > counts[some, None], axis=1, bitorder="little").view("<u8")[:, 0]
+    return out
+
+
+def with_wide(docs: DataFrame, text_col: str, out: str, shingle: int = WIDE, words: int = LONGS) -> DataFrame:
+    """Adds ``out``: the fingerprint of the set of shingles, as ``words`` longs. The Arrow function sees the text column alone."""
+
+    @F.arrow_udf("array<bigint>")
+    def of(texts: pa.Array) -> pa.Array:
+        found = [wide(flat, counts, words) for flat, counts in word_sets(texts, shingle)]
+        flat = np.concatenate([np.zeros((0, words), np.uint64), *found]).view(np.int64).ravel()
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, words, dtype=np.int32)), pa.array(flat))
+
+    return docs.withColumn(out, of(F.col(text_col)))
+
+
 def _forest(x: np.ndarray, y: np.ndarray | None, radius: int) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs within the radius: of x with y, or within x."""
+    """A spanning forest of the pairs within the radius: of x with y (numbered on from x), or within x. A row is one fingerprint."""
     both = x if y is None else np.concatenate([x, y])
     label, first = np.arange(len(both)), 0 if y is None else len(x)
     for at in range(0, len(x), ROWS):
         rows = x[at : at + ROWS]
         skip = at if y is None else 0
-        near = np.bitwise_count(rows[:, None] ^ both[None, first + skip :]) <= radius
+        apart = np.bitwise_count(rows[:, None, 0] ^ both[None, first + skip :, 0])
+        for w in range(1, x.shape[1]):
+            apart += np.bitwise_count(rows[:, None, w] ^ both[None, first + skip :, w])
+        near = apart <= radius
         if y is None:
             near[np.arange(len(rows)), np.arange(len(rows))] = False
         for i in np.flatnonzero(near.any(axis=1)).tolist():
@@ -69,7 +102,7 @@ def _forest(x: np.ndarray, y: np.ndarray | None, radius: int) -> list[tuple[int,
             if (of != low).any():
                 label[np.isin(label, of)] = low
     far = np.flatnonzero(label != np.arange(len(both)))
-    return list(zip(both[far].view(np.int64).tolist(), both[label[far]].view(np.int64).tolist(), strict=True))
+    return list(zip(far.tolist(), label[far].tolist(), strict=True))
 
 
 def _neighbours(key: tuple[int, ...], radius: int) -> Iterator[tuple[int, ...]]:
@@ -81,22 +114,34 @@ def _neighbours(key: tuple[int, ...], radius: int) -> Iterator[tuple[int, ...]]:
             yield (key[0] + d, *rest)
 
 
-def links(prints: DataFrame, col: str, radius: int = RADIUS, parts: int = 2, block: int = BLOCK) -> DataFrame:
-    """``a, b``: enough pairs within the radius to connect whatever is connected. ``prints`` holds distinct fingerprints.
+def _keys(parts: int) -> Column:
+    """The population counts of the parts of a fingerprint ``fp``: of the whole, or of the parts of its one long."""
+    if parts == 1:
+        return F.expr("array(aggregate(fp, 0, (n, x) -> n + bit_count(x)))")
+    width = 64 // parts
+    return F.array(*[F.expr(f"bit_count(shiftrightunsigned(fp[0], {width * i}) & {(1 << width) - 1}L)") for i in range(parts)])
+
+
+def links(prints: DataFrame, radius: int = RADIUS, parts: int | None = None, block: int = BLOCK) -> DataFrame:
+    """``a, b``: enough pairs of nodes within the radius to connect whatever is connected. ``prints`` holds ``node`` (long) and ``fp`` (array of longs).
 
-    The driver gets the size of every tile: at most (64 / parts + 1) ** parts numbers, 1089 for two parts.
+    Without ``parts``, fingerprints of one long are cut into as many parts as make the largest tile a few blocks; for longer ones, whose radius is wide, one
+    part is best, since a tile then has few neighbours. The driver gets the size of every tile: at most (64 / parts + 1) ** parts numbers, 83521 for four parts.
     """
-    width = 64 // parts
-    mask = (1 << width) - 1 if width < 64 else -1
-    counts = [F.bit_count(F.shiftrightunsigned(col, width * i).bitwiseAND(F.lit(mask).cast("long"))).cast("int") for i in range(parts)]
-    keyed = prints.select(F.col(col).alias("fp"), F.array(*counts).alias("key"))
-    blocks = {tuple(r[0]): -(-r[1] // block) for r in keyed.groupBy("key").count().collect()}
+    sizes: dict[tuple[int, ...], int] = {}
+    for parts in (parts,) if parts else (2, 4) if radius <= 4 else (1,):  # noqa: B020
+        sizes = {tuple(r[0]): r[1] for r in prints.groupBy(_keys(parts).alias("key")).count().collect()}
+        if max(sizes.values(), default=0) <= 4 * block:
+            break
+    blocks = {k: -(-n // block) for k, n in sizes.items()}
     several = {k: n for k, n in blocks.items() if n > 1}
     cut = F.lit(1)
+    keyed = prints.select("node", "fp", _keys(parts).alias("key"))
     if several:
         named = F.create_map(*[x for k, n in several.items() for x in (F.lit(".".join(map(str, k))), F.lit(n))])
         cut = F.coalesce(F.element_at(named, F.concat_ws(".", F.col("key").cast("array<string>"))), F.lit(1))
-    packed = keyed.withColumn("no", F.pmod(F.xxhash64("fp"), cut).cast("int")).groupBy("key", "no").agg(F.collect_list("fp").alias("fps"))
+    packed = keyed.withColumn("no", F.pmod(F.xxhash64("node"), cut).cast("int")).groupBy("key", "no").agg(F.collect_list(F.struct("node", "fp")).alias("m"))
+    packed = packed.select("key", "no", F.col("m.node").alias("nodes"), F.flatten("m.fp").alias("fps"))
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -107,24 +152,26 @@ def links(prints: DataFrame, col: str, radius: int = RADIUS, parts: int = 2, blo
                     for their in range(blocks.get(other, 0)):
                         a, b = sorted([me, (other, their)])
                         units.append(f"{a[0]}{a[1]}/{b[0]}{b[1]}")
-                fps = batch["fps"].slice(i, 1)
+                own = [batch[c].slice(i, 1).cast(pa.list_(pa.int64())) for c in ("nodes", "fps")]
                 for at in range(0, len(units), 16):
                     some = units[at : at + 16]
-                    yield pa.RecordBatch.from_arrays([pa.array(some), pa.concat_arrays([fps] * len(some)).cast(pa.list_(pa.int64()))], ["unit", "fps"])
+                    yield pa.RecordBatch.from_arrays([pa.array(some), *(pa.concat_arrays([c] * len(some)) for c in own)], ["unit", "nodes", "fps"])
 
     def compare(table: pa.Table) -> pa.Table:
-        sides = [np.array(v, np.int64).view(np.uint64) for v in table["fps"].to_pylist()]
+        nodes = [np.array(v, np.int64) for v in table["nodes"].to_pylist()]
+        sides = [np.array(v, np.int64).view(np.uint64).reshape(len(n), -1) for v, n in zip(table["fps"].to_pylist(), nodes, strict=True)]
         found = _forest(sides[0], sides[1] if len(sides) > 1 else None, radius)
-        return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
+        of = np.concatenate(nodes).tolist()
+        return pa.table({"a": pa.array([of[i] for i, _ in found], pa.int64()), "b": pa.array([of[j] for _, j in found], pa.int64())})
 
-    dealt = packed.mapInArrow(pairs, "unit string, fps array<bigint>")
+    dealt = packed.mapInArrow(pairs, "unit string, nodes array<bigint>, fps array<bigint>")
     return dealt.groupBy("unit").applyInArrow(compare, "a bigint, b bigint")
 
 
 def components(docs: DataFrame, id_col: str, fp_col: str, radius: int = RADIUS) -> DataFrame:
     """``fp, component_id``: per distinct fingerprint the smallest id of its component. ``docs`` must be cheap to read twice."""
     prints = materialize(docs.groupBy(F.col(fp_col).alias("fp")).agg(F.min(id_col).alias("least")), "prints")
-    roots = connected_components(links(prints, "fp", radius, 2 if prints.count() < 2_000_000 else 4), "simhash")
+    roots = connected_components(links(prints.select(F.col("fp").alias("node"), F.array("fp").alias("fp")), radius), "simhash")
     rooted = prints.join(roots, prints.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     return rooted.join(named, "root").select("fp", "component_id")
@@ -132,19 +179,47 @@ def components(docs: DataFrame, id_col: str, fp_col: str, radius: int = RADIUS)
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """Per input row: id, ``fp`` (long) and ``component_id``, the smallest id reachable over links within the radius."""
-    printed = materialize(with_fingerprint(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text", "own").select("id", "own"), "simhash-docs")
+    slim = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    printed = materialize(with_fingerprint(slim, "text", "own").select("id", "own"), "simhash-docs")
     named = components(printed, "id", "own", radius)
     return printed.join(named, F.col("own") == F.col("fp")).select(F.col("id").alias(id_col), F.col("own").alias("fp"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """The rows of ``docs`` without all but one of each component: the row with the smallest id stays, of equal ids any one."""
-    packed = docs.select(F.struct("*").alias("doc"), F.col(text_col).alias("text"), F.col(id_col).alias("id"))
-    whole = with_fingerprint(packed, "text", "own").select("doc", "id", "own", F.monotonically_increasing_id().alias("row"))
-    whole = materialize(whole, "simhash-whole")
-    slim = whole.select("id", "own", "row")
-    of = slim.join(components(slim, "id", "own", radius), F.col("own") == F.col("fp"))
-    root = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("?"), F.col("fp").cast("string")))
-    ranked = of.select(root.alias("root"), F.struct(F.col("id").isNull().alias("n"), "id", "row").alias("o"))
-    stays = ranked.groupBy("root").agg(F.min("o").alias("o")).select(F.col("o.row").alias("row"))
+def verified_links(entries: DataFrame, texts: DataFrame, shingle: int, radius: int, similarity: float) -> DataFrame:
+    """``a, b``: enough links to connect all entries (uid, fp, size) whose fingerprints lie within the radius and whose sets of shingles are as similar as asked.
+
+    Entries connected within the radius are candidates of each other. Their texts (uid, text) meet in blocks of bounded size, each with each, and
+    every pair within the radius is verified by the exact Jaccard similarity unless it is connected already.
+    """
+    roots = connected_components(links(entries.select(F.col("uid").alias("node"), "fp"), radius), "simhash-near")
+    near = entries.join(roots.withColumnRenamed("root", "group"), F.col("uid") == F.col("node")).select("uid", "fp", "size", "group")
+    total = near.groupBy("group").agg(F.ceil(F.sum("size") / BYTES).cast("int").alias("blocks"))
+    met = near.join(total, "group").withColumn("own", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int"))
+    met = met.select("group", "uid", "fp", "own", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
+    units = met.select("group", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "uid", "fp").join(texts, "uid")
+
+    def compare(table: pa.Table) -> pa.Table:
+        uid, runs = table["uid"].to_numpy(), list(word_sets(table["text"].combine_chunks(), shingle))
+        prints = np.array(table["fp"].to_pylist(), np.int64).view(np.uint64)
+        found = similar(np.concatenate([r[0] for r in runs]), np.concatenate([r[1] for r in runs]), uid, np.arange(len(uid)), similarity, prints, radius)
+        return pa.table({"a": pa.array([int(uid[i]) for i, _ in found], pa.int64()), "b": pa.array([int(uid[j]) for _, j in found], pa.int64())})
+
+    return units.groupBy("group", "i", "j").applyInArrow(compare, "a bigint, b bigint")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = WIDE, radius: int = FAR, similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of ``docs`` without all but one of each group of near-duplicates: the row with the smallest id stays (nulls last), of equal ids any one.
+
+    Fingerprints of the sets of shingles (``LONGS`` longs) lie within the radius, and links are verified by the exact similarity of the sets. Texts without words are copies of each other.
+    """
+    text = F.col(f"`{text_col}`").cast("string")
+    packed = docs.select(F.struct("*").alias("doc"), F.col(f"`{id_col}`").alias("id"), F.when(text.rlike(r"[^\x20\x09-\x0D]"), text).otherwise("").alias("text"))
+    whole = with_wide(packed, "text", "fp", shingle).withColumn("row", F.monotonically_increasing_id())
+    whole = materialize(whole.select("doc", "id", "fp", "row", F.xxhash64("text").alias("mark"), (F.octet_length("text") + 1).alias("size")), "simhash-whole")
+    slim = whole.select(F.struct(F.col("id").isNull().alias("n"), "id", "row").alias("o"), "fp", "mark", "size")
+    entries = materialize(slim.groupBy("fp", "mark", "size").agg(F.min("o").alias("o")).withColumn("uid", F.col("o.row")), "simhash-entries")
+    texts = whole.select(F.col("row").alias("uid"), F.col(f"doc.`{text_col}`").cast("string").alias("text"))
+    roots = connected_components(verified_links(entries, texts, shingle, radius, similarity), "simhash-groups")
+    of = entries.select("uid", "o").join(roots, F.col("uid") == F.col("node"), "left")
+    stays = of.groupBy(F.coalesce("root", "uid").alias("root")).agg(F.min("o").alias("o")).select(F.col("o.row").alias("row"))
     return whole.join(stays, "row", "left_semi").select("doc.*")
