@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 
 from doclattice.llm.lines import dedup_lines
 from doclattice.llm.mixing import mixed
-from doclattice.llm.near import keep_one
 from doclattice.llm.packing import pack_documents
 from doclattice.llm.quality import fit, keep_good
 from doclattice.llm.shared import materialize, read_table
+from doclattice.llm.simhash import keep_one
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +30,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document stays of each group of documents linked by a similarity of 0.8 or more of their five-word shingles."""
+    """One document stays of each group linked by SimHash over five-word shingles, verified by their exact similarity of 0.8 or more."""
     return keep_one(docs)
 
 
