@@ -142,6 +142,22 @@ def status_counts(jobs: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     )
 
 
+def running_jobs(jobs: DataFrame, engine: str) -> DataFrame:
+    """How many jobs of an engine run: one row, ``running``."""
+    return jobs.where((F.col("status") == "running") & (F.col("engine") == engine)).agg(F.count(F.lit(1)).alias("running"))
+
+
+def wait_message(running: Column, limit: Column) -> Column:
+    """What a waiting job is told."""
+    return F.when(limit <= 0, "waiting for GPU memory").otherwise(F.format_string("waiting: %d of %d places taken", running, limit))
+
+
+def job_list(jobs: DataFrame) -> DataFrame:
+    """The jobs of a status snapshot, one row each: what clients may see, with defaults."""
+    d = lambda c, v: F.coalesce(F.col(c), F.lit(v)).alias(c)
+    return jobs.select("job_id", d("status", ""), d("filename", ""), d("message", ""), d("source_type", "pdf"))
+
+
 def validate_requests(requests: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     """Uploads to validated requests: ``error`` says why not; TeX always goes to the free-text engine."""
     name = F.lower(F.col("name"))
@@ -166,7 +182,8 @@ def catalog_options(options: DataFrame, installed: DataFrame) -> DataFrame:
     """Model options with whether they're installed; unknown (null) if no installed model is known."""
     names = installed.where("name is not null and name <> ''").select(F.col("name").alias("value")).distinct().withColumn("_there", F.lit(True))
     any_ = names.agg((F.count(F.lit(1)) > 0).alias("_any"))
-    met = options.join(names, "value", "left").withColumn("_k", F.lit(1)).join(any_.withColumn("_k", F.lit(1)), "_k")
+    # one row, so it may be broadcast
+    met = options.join(names, "value", "left").withColumn("_k", F.lit(1)).join(F.broadcast(any_.withColumn("_k", F.lit(1))), "_k")
     return met.select("engine", "value", "label", F.when(F.col("_any"), F.coalesce("_there", F.lit(False))).alias("installed"))
 
 

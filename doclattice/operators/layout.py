@@ -20,16 +20,23 @@ PAGE = ["doc_id", "page_no"]
 def assign_lines(words: DataFrame, keys: list[str] = PAGE, settings: Settings = DEFAULT) -> DataFrame:
     """Adds ``line_no``, from 0: a word starts a line when its top is more than the tolerance below the line's first word.
 
-    A fold over the distinct tops of a page finds the lines' first tops (a window over the previous word would chain
-    words that drift); a word's line is the number of first tops not below it. A page's words are one row for the fold and rows
+    A fold over the distinct tops of a page finds the line of each top (a window over the previous word would chain
+    words that drift); a word's line is that of its top. A page's words are one row for the fold and rows
     again after it, still dealt by page, so this exchange is the only one.
     """
     rest = [c for c in words.columns if c not in keys]
     page = words.groupBy(*keys).agg(F.collect_list(F.struct(*rest)).alias("_words"), F.sort_array(F.collect_set("top")).alias("_tops"))
-    none = F.array().cast("array<double>")
-    anchors = F.aggregate("_tops", none, lambda acc, t: F.when(F.size(acc) == 0, F.array(t)).when(t - F.try_element_at(acc, F.lit(-1)) > settings.line_tolerance, F.concat(acc, F.array(t))).otherwise(acc))
-    placed = page.select(*keys, "_words", anchors.alias("_anchors")).select(*keys, "_anchors", F.explode("_words").alias("_w")).select(*keys, "_anchors", "_w.*")
-    return placed.withColumn("line_no", F.size(F.filter("_anchors", lambda a: a <= F.col("top"))) - 1).drop("_anchors")
+    start = F.struct(F.lit(None).cast("double").alias("first"), F.lit(-1).alias("line"), F.array().cast("array<int>").alias("lines"))
+
+    def step(acc: Column, top: Column) -> Column:
+        new = F.coalesce(top - acc["first"] > settings.line_tolerance, F.lit(True))
+        line = acc["line"] + new.cast("int")
+        return F.struct(F.when(new, top).otherwise(acc["first"]).alias("first"), line.alias("line"), F.concat(acc["lines"], F.array(line)).alias("lines"))
+
+    numbered = page.select(*keys, "_words", "_tops", F.aggregate("_tops", start, step, lambda acc: acc["lines"]).alias("_lines"))
+    line = lambda w: F.coalesce(F.get("_lines", F.array_position("_tops", w["top"]).cast("int") - 1), F.lit(-1))
+    placed = F.transform("_words", lambda w: F.struct(*[w[c].alias(c) for c in rest], line(w).alias("line_no")))
+    return numbered.select(*keys, F.explode(placed).alias("_w")).select(*keys, "_w.*")
 
 
 def split_segments(lined: DataFrame, keys: list[str] = PAGE, split_gaps: bool = True, settings: Settings = DEFAULT) -> DataFrame:

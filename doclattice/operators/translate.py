@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -23,11 +24,22 @@ class TranslationError(RuntimeError):
 
 
 class Translator(Protocol):
+    """What a plug-in offers. ``translate_batch_structured`` may ask its model for another form of reply; a plug-in without it answers as for plain batches."""
+
     engine: str
 
     def translate_batch(self, texts: list[str]) -> list[str]: ...
 
 
+def call_translator(translator: Translator, texts: list[str], structured: bool = False) -> list[str]:
+    """One call; another number of texts than asked for is an error like any other."""
+    method = getattr(translator, "translate_batch_structured", translator.translate_batch) if structured else translator.translate_batch
+    found = method(texts)
+    if len(found) != len(texts):
+        raise TranslationError("the translator returned another number of texts")
+    return found
+
+
 class CopyTranslator:
     """Returns its input, marked; for tests and dry runs."""
 
@@ -66,42 +78,79 @@ def copy_expression(c: Column) -> Column:
     return F.when(is_blank(c), "").otherwise(F.concat(F.lit(COPY_MARK), strip(c)))
 
 
-def resilient(texts: list[str], translator: Translator, settings: Settings = DEFAULT) -> list[tuple[str, str]]:
-    """(translation, status) of each text. A batch that fails is halved; a single long text that fails is cut into chunks; what still fails keeps its source.
+# A text up to this length isn't cut; the least size of a piece.
+UNCUT, LEAST_PIECE = 1200, 900
+
+
+def resilient(texts: list[str], translator: Translator, settings: Settings = DEFAULT, structured: bool = False) -> list[tuple[str, str]]:
+    """(translation, status) of each text. A batch that fails is halved; a single text that failed as structured is tried plain; a long one is cut into chunks; what still fails keeps its source.
 
     Only engines that answer with free text are retried; others raise.
     """
     try:
-        found = translator.translate_batch(texts)
-        if len(found) == len(texts):
-            return [(t, "ok") for t in found]
-        raise TranslationError("the translator returned another number of texts")
+        return [(t, "ok") for t in call_translator(translator, texts, structured)]
     except TranslationError:
         if not translator.engine.startswith("llm"):
             raise
     if len(texts) > 1:
         half = len(texts) // 2
-        return resilient(texts[:half], translator, settings) + resilient(texts[half:], translator, settings)
-    if not texts:
-        return []
-    text = texts[0]
-    pieces = py_chunks(text, max(900, min(settings.chunk_chars_llm // 2, len(text) // 2))) if len(text) > 1200 else []
+        return [x for part in (texts[:half], texts[half:]) for x in resilient(part, translator, settings, structured)]
+    return [_single(text, translator, settings, structured) for text in texts]
+
+
+def _single(text: str, translator: Translator, settings: Settings, structured: bool) -> tuple[str, str]:
+    """The last resorts for a text that failed alone."""
+    if structured:
+        with contextlib.suppress(TranslationError):
+            return call_translator(translator, [text])[0], "plain"
+    pieces = py_chunks(text, max(LEAST_PIECE, min(settings.chunk_chars_llm // 2, len(text) // 2))) if len(text) > UNCUT else []
     if len(pieces) < 2:
-        return [(text, "source")]
+        return text, "source"
     items, chars = batch_limits(translator.engine, "quality", settings)
-    parts: list[str] = []
-    start, size = 0, 0
-    for i, piece in enumerate(pieces):
-        if i > start and (i - start >= items or size + len(piece) > chars):
-            parts += [t for t, _ in resilient(pieces[start:i], translator, settings)]
-            start, size = i, 0
-        size += len(piece)
-    parts += [t for t, _ in resilient(pieces[start:], translator, settings)]
-    return [("\n\n".join(p.strip() for p in parts if p.strip()), "pieces")]
+    batches: list[list[str]] = []
+    for piece in pieces:
+        if not batches or len(batches[-1]) >= items or sum(map(len, batches[-1])) + len(piece) > chars:
+            batches.append([])
+        batches[-1].append(piece)
+    parts = [t.strip() for batch in batches for t, _ in resilient(batch, translator, settings)]
+    return "\n\n".join(filter(None, parts)), "pieces"
+
+
+def halving(texts: list[str], translator: Translator, settings: Settings = DEFAULT) -> list[tuple[str, str]]:
+    """(translation, status) of each text, for segments of TeX: a batch that fails is halved, and a single segment that fails in whatever way keeps its source."""
+    try:
+        return [(t, "ok") for t in call_translator(translator, texts, True)]
+    except TranslationError:
+        if len(texts) > 1:
+            half = len(texts) // 2
+            return [x for part in (texts[:half], texts[half:]) for x in halving(part, translator, settings)]
+    except Exception:
+        if len(texts) > 1:
+            raise
+    return [(t, "source") for t in texts]
+
+
+def structured_regions(texts: list[str], translator: Translator, settings: Settings = DEFAULT) -> list[tuple[str, str]]:
+    """(translation, status) of a page's regions: as structured batches, each region alone where that raises; an empty translation is the source."""
+    try:
+        found = resilient(texts, translator, settings, structured=True)
+    except TranslationError:
+        found = []
+        for text in texts:
+            try:
+                found += resilient([text], translator, settings)
+            except TranslationError:
+                found.append((text, "source"))
+    return [(t or source, status) for (t, status), source in zip(found, texts, strict=True)]
+
+
+def zip_fallback(sources: Column, translated: Column) -> Column:
+    """Translations by place; a blank one is its source."""
+    return F.zip_with(sources, translated, lambda s, t: F.when(is_blank(F.coalesce(t, F.lit(""))), s).otherwise(t))
 
 
-def translate_batches(df: DataFrame, keys: list[str], translator: Translator, text: str = "text", settings: Settings = DEFAULT) -> DataFrame:
-    """Adds ``translated_text`` and ``status``; ``keys`` and ``batch_id`` name the batches, rows of one being adjacent in their partition.
+def translate_batches(df: DataFrame, keys: list[str], translator: Translator, text: str = "text", settings: Settings = DEFAULT, ladder: Callable = resilient) -> DataFrame:
+    """Adds ``translated_text`` and ``status`` by ``ladder(texts, translator, settings)``; ``keys`` and ``batch_id`` name the batches, rows of one being adjacent in their partition.
 
     The plug-in is built once per task and sees one batch at a time.
     """
@@ -122,7 +171,7 @@ def translate_batches(df: DataFrame, keys: list[str], translator: Translator, te
             yield call(held)
 
     def call(batch: pd.DataFrame) -> pd.DataFrame:
-        found = resilient(batch[text].tolist(), translator, settings)
+        found = ladder(batch[text].tolist(), translator, settings)
         return batch.assign(translated_text=[f[0] for f in found], status=[f[1] for f in found])
 
     return df.mapInPandas(run, schema)
@@ -162,7 +211,7 @@ def translate_deduped(rows: DataFrame, translate: Callable[[DataFrame], DataFram
 
 
 def translate_regions(regions: DataFrame, translator: Translator, mode: str = "quality", settings: Settings = DEFAULT) -> DataFrame:
-    """Regions with ``translated_text``: verbatim for copy; per page for a free-text engine in page mode; else deduplicated across pages."""
+    """Regions with ``translated_text``: verbatim for copy; per page for a free-text engine in page mode; else deduplicated across pages and documents, the keys of a document (those first seen there) being batched in order of first sight."""
     wanted = F.col("translatable") & ~is_blank(F.col("text"))
     todo, rest = regions.where(wanted), regions.where(~wanted).withColumn("translated_text", F.lit(""))
     if translator.engine == "copy":
@@ -170,7 +219,7 @@ def translate_regions(regions: DataFrame, translator: Translator, mode: str = "q
     if translator.engine.startswith("llm") and mode == "page":
         items, chars = min(settings.overlay_items, settings.overlay_llm_items), min(settings.overlay_chars, settings.overlay_llm_chars)
         sized = greedy_batches(todo.withColumn("n", F.char_length("text")), ["doc_id", "page_no"], ["region_no"], "n", items, chars)
-        return translate_batches(sized, ["doc_id", "page_no"], translator, settings=settings).select(*regions.columns, "translated_text").unionByName(rest)
+        return translate_batches(sized, ["doc_id", "page_no"], translator, settings=settings, ladder=structured_regions).select(*regions.columns, "translated_text").unionByName(rest)
     items, chars = batch_limits(translator.engine, mode, settings)
 
     def by_document(keys: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT
+from ..functions.limits import mb_to_gb
 from ..operators import jobs as J
 from ..sources import system as S
 from ..sources.testdata import CHUNKS_SQL, JOB_EVENTS_SQL, chunks, job_events, table
@@ -61,15 +62,14 @@ def q_ttl(spark, sf_dir):
     return J.expire(J.latest_state(job_events(spark, sf_dir)), F.lit(now)).select("job_id", "status")
 
 
-@query("memory_control", f"""WITH {_LATEST}, g AS (SELECT 81920 * 2 AS total, sum(1000 + (s_suppkey * 37) % 1000)::BIGINT AS used FROM (SELECT * FROM supplier ORDER BY s_suppkey LIMIT 2)),
-r AS (SELECT sum({_MB})::BIGINT AS reserved, count(*) AS running FROM (SELECT * FROM jobs WHERE status = 'running' AND job_id < 8)), x AS (SELECT total::BIGINT AS total_mb, used AS used_mb, total - used AS free_mb, coalesce(reserved, 0)::BIGINT AS reserved_mb, running AS running_jobs FROM g, r)
+@query("memory_control", f"""WITH {_LATEST}, g AS (SELECT 81920 * count(*) AS total, sum(1000 + (s_suppkey * 37) % 1000)::BIGINT AS used FROM supplier),
+r AS (SELECT sum({_MB})::BIGINT AS reserved, count(*) AS running FROM (SELECT * FROM jobs WHERE status = 'running')), x AS (SELECT total::BIGINT AS total_mb, used AS used_mb, total - used AS free_mb, coalesce(reserved, 0)::BIGINT AS reserved_mb, running AS running_jobs FROM g, r)
 SELECT total_mb, used_mb, free_mb, reserved_mb, running_jobs, least(102400, greatest(0, total_mb - 8192))::BIGINT AS budget_mb, least(total_mb, used_mb + reserved_mb)::BIGINT AS effective_used_mb, total_mb > 0 AS available,
   least(4, running_jobs + greatest(0, least(102400, greatest(0, total_mb - 8192)) - least(total_mb, used_mb + reserved_mb)) // 20480)::BIGINT AS "limit" FROM x""")
 def q_memory(spark, sf_dir):
-    two = table(spark, sf_dir, "supplier").orderBy("s_suppkey").limit(2)
     used = 1000 + (F.col("s_suppkey") * 37) % 1000
-    gpus = two.select(F.lit(81920).cast("long").alias("memory_total_mb"), used.cast("long").alias("memory_used_mb"), (81920 - used).cast("long").alias("memory_free_mb"))
-    running = _jobs(spark, sf_dir).where("status = 'running' and job_id < 8").withColumn("resource_reserved_mb", F.lit(0).cast("long"))
+    gpus = table(spark, sf_dir, "supplier").select(F.lit(81920).cast("long").alias("memory_total_mb"), used.cast("long").alias("memory_used_mb"), (81920 - used).cast("long").alias("memory_free_mb"))
+    running = _jobs(spark, sf_dir).where("status = 'running'").withColumn("resource_reserved_mb", F.lit(0).cast("long"))
     return J.memory_control(gpus, running)
 
 
@@ -164,7 +164,7 @@ def q_catalog(spark, sf_dir):
 
 @query("nmt_running", f"WITH {_LATEST} SELECT count(*) AS nmt_running FROM jobs WHERE status = 'running' AND job_id % 4 = 0")
 def q_nmt(spark, sf_dir):
-    return _jobs(spark, sf_dir).where("status = 'running' and engine = 'nmt'").agg(F.count(F.lit(1)).alias("nmt_running"))
+    return J.running_jobs(_jobs(spark, sf_dir), "nmt").select(F.col("running").alias("nmt_running"))
 
 
 @query("running_reservations", f"WITH {_LATEST} SELECT job_id, {_MB}::BIGINT AS reserved_mb FROM jobs WHERE status = 'running'")
@@ -176,3 +176,29 @@ def q_reserved(spark, sf_dir):
 def q_fields(spark, sf_dir):
     value = F.when(F.col("role") == "system", "  ").otherwise(F.concat(F.lit(" "), F.col("role")))
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", S.field_value(value, "nmt").alias("value"))
+
+
+@query("wait_messages", f"WITH {_LATEST} SELECT job_id, CASE WHEN job_id % 5 = 0 THEN 'waiting for GPU memory' ELSE 'waiting: ' || n_events || ' of ' || job_id % 5 || ' places taken' END AS message FROM jobs WHERE status = 'queued'")
+def q_wait_message(spark, sf_dir):
+    queued = _jobs(spark, sf_dir).where("status = 'queued'")
+    return queued.select("job_id", J.wait_message(F.col("n_events"), F.col("job_id") % 5).alias("message"))
+
+
+@query("job_list", f"WITH {_LATEST} SELECT job_id, status, CASE WHEN job_id % 2 = 0 THEN 'paper-' || job_id || '.pdf' ELSE '' END AS filename, '' AS message, CASE WHEN job_id % 3 = 0 THEN 'tex' ELSE 'pdf' END AS source_type FROM jobs")
+def q_job_list(spark, sf_dir):
+    n = F.col("job_id")
+    named = _jobs(spark, sf_dir).withColumn("filename", F.when(n % 2 == 0, F.format_string("paper-%d.pdf", n))).withColumn("message", F.lit(None).cast("string"))
+    return J.job_list(named.withColumn("source_type", F.when(n % 3 == 0, "tex")))
+
+
+@query("service_status", "SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'loading' ELSE 'unavailable' END AS status, turn % 3 = 0 AND turn % 2 = 0 AS ready FROM conversations")
+def q_service_status(spark, sf_dir):
+    turn = F.col("turn")
+    body = F.when(turn % 3 == 0, F.to_json(F.struct(F.lit("loading").alias("status"), (turn % 2 == 0).alias("ready")))).when(turn % 3 == 1, "not json")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", body.alias("value"))
+    return S.service_status(rows, keys=["conv_id", "turn"])
+
+
+@query("memory_gb", "SELECT s_suppkey, round_even(s_suppkey * 1536 / 1024, 2) AS gb FROM supplier")
+def q_gb(spark, sf_dir):
+    return table(spark, sf_dir, "supplier").select("s_suppkey", mb_to_gb(F.col("s_suppkey") * 1536).alias("gb"))

@@ -155,19 +155,25 @@ _EQUATION = f"""(SELECT c <> '' AND ((regexp_matches(c, '[{_MATH}]') AND len(w)
   FROM (SELECT t, c, w, len(list_filter(w, lambda x: x IN ({_NAMES}) OR len(x) = 1)) AS short, len(list_filter(w, lambda x: len(x) >= 6)) AS longs
   FROM (SELECT @t@ AS t, regexp_replace(@t@, '\\s+', '', 'g') AS c, list_transform({_W}, lambda x: replace(lower(x), '-', '')) AS w)))"""
 # lines of documents with variants that the predicates tell apart
-_VARIANT = """CASE chunk_no % 7 WHEN 1 THEN 'x = ' || text[1:12] WHEN 2 THEN 'Department of ' || text[1:20] WHEN 3 THEN text[1:9] || ' @ mail' WHEN 4 THEN replace(replace(text, '.', ''), ',', '')[1:40] WHEN 5 THEN 'https://' || text[1:5] WHEN 6 THEN text[1:7] ELSE text END"""
-_VARIED = f"WITH {CHUNKS_SQL}, v AS (SELECT doc_id, chunk_no, {_VARIANT} AS text FROM chunks)"
+_VARIANT = """CASE chunk_no % 7 WHEN 1 THEN 'x = ' || text WHEN 2 THEN 'Department of ' || text WHEN 3 THEN text || ' @ mail' WHEN 4 THEN replace(replace(text, '.', ''), ',', '') WHEN 5 THEN 'https://' || text ELSE text END"""
+_MORE = [
+    "x = # + y", "Department of Physics and Letters #", "Write to a@b", "Alice Brown Carol Davis and Eve Fox", "https://x.org/#", "ab", "Introduction", "All Rights Reserved by us", "sin x log y", "(cid:#) glyphs",
+    "arXiv:1234.# and more words", "l p", "1 2 3 = 4", "Results Here", "a short line of small words that is longer", "© # The authors of this", "7", "University of x y #",
+]
+_VARIED = f"""WITH {CHUNKS_SQL}, v AS (SELECT doc_id, chunk_no, {_VARIANT} AS text FROM chunks
+  UNION ALL SELECT doc_id, (-1 - i)::INT, replace(x, '#', doc_id::VARCHAR) FROM documents, (VALUES {", ".join(f"({i}, '{x}')" for i, x in enumerate(_MORE))}) m(i, x))"""
 
 
 def _varied(spark, sf_dir):
     text, no = F.col("text"), F.col("chunk_no") % 7
-    cut = lambda n: F.substring("text", 1, n)
     plain = F.replace(F.replace(text, F.lit("."), F.lit("")), F.lit(","), F.lit(""))
     v = (
-        F.when(no == 1, F.concat(F.lit("x = "), cut(12))).when(no == 2, F.concat(F.lit("Department of "), cut(20))).when(no == 3, F.concat(cut(9), F.lit(" @ mail")))
-        .when(no == 4, F.substring(plain, 1, 40)).when(no == 5, F.concat(F.lit("https://"), cut(5))).when(no == 6, cut(7)).otherwise(text)
+        F.when(no == 1, F.concat(F.lit("x = "), text)).when(no == 2, F.concat(F.lit("Department of "), text)).when(no == 3, F.concat(text, F.lit(" @ mail")))
+        .when(no == 4, plain).when(no == 5, F.concat(F.lit("https://"), text)).otherwise(text)
     )
-    return chunks(spark, sf_dir).select("doc_id", "chunk_no", v.alias("text"))
+    more = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.array(*[F.lit(x) for x in _MORE])).alias("i", "x"))
+    more = more.select("doc_id", (-1 - F.col("i")).alias("chunk_no"), F.replace("x", F.lit("#"), F.col("doc_id").cast("string")).alias("text"))
+    return chunks(spark, sf_dir).select("doc_id", "chunk_no", v.alias("text")).unionByName(more)
 
 
 @query("author_lines", f"{_VARIED} SELECT doc_id, chunk_no, {_AUTHOR.replace('@t@', 'text')} AS author FROM v")
@@ -191,7 +197,7 @@ def q_translatable(spark, sf_dir):
 
 
 _JA = "第一章では日本語の文章を翻訳する方法について説明します。"
-_PAGES = f"""p AS (SELECT doc_id, CASE doc_id % 5 WHEN 1 THEN repeat('{_JA}', 4) || text[1:60] WHEN 2 THEN '(cid:12)(cid:3)(cid:77) ' || text WHEN 3 THEN repeat('¤¦§¶¬', 30) || text[1:60] WHEN 4 THEN '   ' ELSE text END AS text FROM documents)"""
+_PAGES = f"""p AS (SELECT doc_id, CASE doc_id % 5 WHEN 1 THEN repeat('{_JA}', 4 + len(text) // 20) || text WHEN 2 THEN '(cid:12)(cid:3)(cid:77) ' || text WHEN 3 THEN repeat('¤¦§¶¬', 30 + len(text) // 5) || text WHEN 4 THEN '   ' ELSE text END AS text FROM documents)"""
 _COUNTS = """c AS (SELECT doc_id, text, len(regexp_extract_all(text, '[\\x{3040}-\\x{30ff}\\x{3400}-\\x{9fff}]')) AS ja, len(regexp_extract_all(text, '[A-Za-z]')) AS la, len(regexp_extract_all(text, '\\(cid:')) AS cid,
   regexp_replace(text, '\\s+', '', 'g') AS dense FROM p),
 f AS (SELECT doc_id, text, ja + la >= 80 AND ja / greatest(1, ja + la) >= 0.35 AS japanese,
@@ -199,8 +205,8 @@ f AS (SELECT doc_id, text, ja + la >= 80 AND ja / greatest(1, ja + la) >= 0.35 A
 
 
 def _pages(spark, sf_dir):
-    n, cut = F.col("doc_id") % 5, F.substring("text", 1, 60)
-    text = F.when(n == 1, F.concat(F.lit(_JA * 4), cut)).when(n == 2, F.concat(F.lit("(cid:12)(cid:3)(cid:77) "), F.col("text"))).when(n == 3, F.concat(F.lit("¤¦§¶¬" * 30), cut)).when(n == 4, "   ").otherwise(F.col("text"))
+    n, more = F.col("doc_id") % 5, lambda x, least, every: F.concat(F.repeat(F.lit(x), least + F.floor(F.char_length("text") / every).cast("int")), "text")
+    text = F.when(n == 1, more(_JA, 4, 20)).when(n == 2, F.concat(F.lit("(cid:12)(cid:3)(cid:77) "), F.col("text"))).when(n == 3, more("¤¦§¶¬", 30, 5)).when(n == 4, "   ").otherwise(F.col("text"))
     return table(spark, sf_dir, "documents").select("doc_id", text.alias("text"))
 
 
@@ -219,11 +225,13 @@ def q_preserve(spark, sf_dir):
     return _pages(spark, sf_dir).select("doc_id", should_preserve(F.col("text")).alias("preserve"))
 
 
-@query("page_image_outer_join", f"""WITH {PAGE_TEXTS_SQL}, i AS (SELECT doc_id, page_no, format('page-{{}}-{{:03d}}.png', doc_id, page_no) AS image_path FROM page_texts WHERE page_no % 5 <> 0),
-t AS (SELECT * FROM page_texts WHERE page_no % 7 <> 0), l AS (SELECT doc_id, max_by(image_path, page_no) AS last_image FROM i GROUP BY doc_id)
-SELECT doc_id, page_no, coalesce(source_text, '') AS source_text, coalesce(image_path, last_image) AS image_path FROM t FULL JOIN i USING (doc_id, page_no) LEFT JOIN l USING (doc_id)""")
+@query("page_image_outer_join", f"""WITH {PAGE_TEXTS_SQL}, i AS (SELECT doc_id, page_no, format('page-{{}}-{{:03d}}.png', doc_id, page_no) AS image_path FROM (SELECT doc_id, page_no FROM page_texts WHERE page_no % 5 <> 0 UNION ALL SELECT doc_id, 100000 FROM documents)),
+l AS (SELECT doc_id, max_by(image_path, page_no) AS last_image FROM i GROUP BY doc_id)
+SELECT doc_id, page_no, coalesce(source_text, '') AS source_text, coalesce(image_path, last_image) AS image_path FROM page_texts FULL JOIN i USING (doc_id, page_no) LEFT JOIN l USING (doc_id)""")
 def q_images(spark, sf_dir):
-    return L.page_image_pairs(page_texts(spark, sf_dir).where("page_no % 7 <> 0"), page_images(spark, sf_dir))
+    """Texts without an image, and images without a text."""
+    alone = table(spark, sf_dir, "documents").select("doc_id", F.lit(100000).alias("page_no"), F.format_string("page-%d-%03d.png", "doc_id", F.lit(100000)).alias("image_path"))
+    return L.page_image_pairs(page_texts(spark, sf_dir), page_images(spark, sf_dir).unionByName(alone))
 
 
 @query("fit_images", "SELECT p_partkey, p_size * least(300.0 / p_size, 200.0 / (p_retailprice / 10)) AS width, (p_retailprice / 10) * least(300.0 / p_size, 200.0 / (p_retailprice / 10)) AS height FROM (SELECT p_partkey, p_size::DOUBLE AS p_size, p_retailprice::DOUBLE AS p_retailprice FROM part)")

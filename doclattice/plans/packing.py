@@ -9,7 +9,19 @@ from ..functions.limits import LIMITS, job_memory_mb, limit
 from ..functions.text import squeeze
 from ..operators.folds import greedy_batches, paginate
 from ..operators.segments import page_chunks, sentence_pieces, wrap_lines
-from ..operators.translate import CopyTranslator, assemble_pages, copy_expression, dedupe_keys, translate_batches, translate_deduped, translate_pages, translate_regions
+from ..operators.translate import (
+    CopyTranslator,
+    FunctionTranslator,
+    TranslationError,
+    assemble_pages,
+    copy_expression,
+    dedupe_keys,
+    translate_batches,
+    translate_deduped,
+    translate_pages,
+    translate_regions,
+    zip_fallback,
+)
 from ..sources.testdata import CHUNKS_SQL, PAGE_TEXTS_SQL, chunks, page_texts, table
 from .registry import query
 
@@ -130,15 +142,13 @@ def q_reassembly(spark, sf_dir):
     return assemble_pages(chunks(spark, sf_dir), ["doc_id", "page_no"], "chunk_no", "text")
 
 
-@query("resilient_translate", None)
+@query("resilient_translate", f"WITH {CHUNKS_SQL} SELECT doc_id, chunk_no, CASE WHEN contains(text, 'th') AND len(text) <= 1200 THEN text ELSE replace(text, 'e', 'E') END AS translated_text, CASE WHEN contains(text, 'th') AND len(text) <= 1200 THEN 'source' ELSE 'ok' END AS status FROM chunks")
 def q_resilient(spark, sf_dir):
-    """A translator that fails for batches of more than two and for texts with a certain word: halving reaches all others."""
-    from ..operators.translate import FunctionTranslator, TranslationError
-
+    """A translator that fails for batches of more than two and for short texts with certain letters: halving reaches all others."""
     def fail(texts):
-        if len(texts) > 2 or any("secret" in t for t in texts):
+        if len(texts) > 2 or any("th" in t and len(t) <= 1200 for t in texts):
             raise TranslationError("refused")
-        return [t.upper() for t in texts]
+        return [t.replace("e", "E") for t in texts]
 
     sized = chunks(spark, sf_dir).select("doc_id", "chunk_no", "text", F.char_length("text").alias("n"))
     batched = greedy_batches(sized, ["doc_id"], ["chunk_no"], "n", 24, 7000)
@@ -172,7 +182,7 @@ def q_sentences(spark, sf_dir):
 def q_zip(spark, sf_dir):
     t = F.when(F.col("doc_id") % 3 == 0, "  ").otherwise(F.concat(F.lit("T: "), F.col("text")))
     docs = table(spark, sf_dir, "documents").select("doc_id", F.array("text").alias("s"), F.array(t).alias("t"))
-    return docs.select("doc_id", F.zip_with("s", "t", lambda s, t: F.when(F.trim(t) == "", s).otherwise(t))[0].alias("text"))
+    return docs.select("doc_id", zip_fallback(F.col("s"), F.col("t"))[0].alias("text"))
 
 
 @query("paginate_lines", f"""WITH RECURSIVE {CHUNKS_SQL}, l AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_no) AS rn, chunk_no % 5 = 4 AS blank FROM chunks),
@@ -192,6 +202,28 @@ def q_wrap(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(wrap_lines(F.col("text"), 9.2, 350.0)).alias("line_no", "line"))
 
 
+@query("region_translate_page", f"""WITH {CHUNKS_SQL} SELECT doc_id, page_no, chunk_no AS region_no, CASE WHEN chunk_no % 4 = 3 THEN '' WHEN contains(text, 'ion') THEN text WHEN contains(text, 'and') THEN replace(text, 'e', '3') ELSE replace(text, 'e', 'E') END AS translated_text FROM chunks""")
+def q_region_translate(spark, sf_dir):
+    """Page by page as structured batches: some regions are refused so and translated plain, some are refused always, some come back empty."""
+
+    class Picky(FunctionTranslator):
+        def translate_batch_structured(self, texts):
+            if any("and" in t and "ion" not in t for t in texts):
+                raise TranslationError("no structured reply")
+            return ["" if "ion" in t else t.replace("e", "E") for t in texts]
+
+    found = chunks(spark, sf_dir).select("doc_id", "page_no", F.col("chunk_no").alias("region_no"), "text", (F.col("chunk_no") % 4 != 3).alias("translatable"))
+    plain = Picky(lambda texts: [t.replace("e", "3") for t in texts])
+    return translate_regions(found, plain, "page").select("doc_id", "page_no", "region_no", "translated_text")
+
+
+@query("batch_char_totals", f"WITH RECURSIVE {CHUNKS_SQL}, {greedy_sql('chunks', 'doc_id', 'chunk_no', 'len(text)', 16, 4800)} SELECT doc_id, batch_id, sum(n)::BIGINT AS n_chars FROM b GROUP BY doc_id, batch_id")
+def q_batch_totals(spark, sf_dir):
+    items, chars = batch_limits("copy", "quality")
+    sized = chunks(spark, sf_dir).select("doc_id", "chunk_no", F.char_length("text").cast("long").alias("n"))
+    return greedy_batches(sized, ["doc_id"], ["chunk_no"], "n", items, chars).groupBy("doc_id", "batch_id").agg(F.sum("n").alias("n_chars"))
+
+
 @query("char_totals", "SELECT doc_id, sum(len(trim(regexp_replace(text, '\\s+', ' ', 'g'))))::BIGINT AS n_chars FROM documents GROUP BY doc_id")
 def q_char_totals(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy("doc_id").agg(F.sum(F.char_length(squeeze(F.col("text")))).alias("n_chars"))

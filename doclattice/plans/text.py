@@ -41,7 +41,7 @@ def q_blocks(spark, sf_dir):
     return kept.select("doc_id", F.size(F.split("text", "\n\n")).alias("n_blocks"), "text")
 
 
-@query("nfkc_math", None)
+@query("nfkc_math", "SELECT doc_id, '1/2 L - fi ' || translate(text, '−–—∕⁄∗⋅∙⟨⟩', '---//*··<>') AS text FROM documents")
 def q_math(spark, sf_dir):
     odd = F.concat(F.lit("½ 𝓛 − ﬁ "), F.col("text"))
     return table(spark, sf_dir, "documents").select("doc_id", T.normalize_math(odd).alias("text"))
@@ -88,35 +88,36 @@ def q_overlay(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.compact_overlay(F.col("text")).alias("text"))
 
 
-_FENCE = "CASE WHEN doc_id % 2 = 0 THEN '```json' || chr(10) || w || chr(10) || '```' ELSE 'Here: ' || w || ' done' END"
-
-
 def _replies(spark, sf_dir):
-    first = F.element_at(F.split("text", " "), 1)
-    w = F.to_json(F.struct(F.array(first, F.lit("b")).alias("translations")))
+    w = F.to_json(F.struct(F.array("text", F.lit("b")).alias("translations")))
     fenced = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("```json\n"), w, F.lit("\n```"))).otherwise(F.concat(F.lit("Here: "), w, F.lit(" done")))
-    return table(spark, sf_dir, "documents").select("doc_id", first.alias("first"), fenced.alias("content"))
+    return table(spark, sf_dir, "documents").select("doc_id", fenced.alias("content"))
+
+
+_W = "to_json({'translations': [text, 'b']})::VARCHAR"
 
 
-@query("fence_strip", f"SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN w ELSE 'Here: ' || w || ' done' END AS content FROM (SELECT doc_id, '{{\"translations\":[\"' || string_split(text, ' ')[1] || '\",\"b\"]}}' AS w FROM documents WHERE NOT contains(string_split(text, ' ')[1], chr(10)))")
+@query("fence_strip", f"SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN w ELSE 'Here: ' || w || ' done' END AS content FROM (SELECT doc_id, {_W} AS w FROM documents)")
 def q_fence(spark, sf_dir):
-    return _replies(spark, sf_dir).where("not contains(first, '\n')").select("doc_id", T.strip_fence(T.strip(F.col("content"))).alias("content"))
+    return _replies(spark, sf_dir).select("doc_id", T.strip_fence(T.strip(F.col("content"))).alias("content"))
 
 
-@query("llm_reply_parse", "SELECT doc_id, trim(string_split(text, ' ')[1], ' ' || chr(10)) AS a, 'b' AS b FROM documents")
+@query("llm_reply_parse", "SELECT doc_id, trim(text, ' ' || chr(10)) AS a, 'b' AS b FROM documents")
 def q_reply(spark, sf_dir):
     parsed = _replies(spark, sf_dir).select("doc_id", T.parse_reply(F.col("content"), F.lit(2)).alias("t"))
     return parsed.select("doc_id", F.col("t")[0].alias("a"), F.col("t")[1].alias("b"))
 
 
-@query("json_candidates", None)
+@query("json_candidates", f"""WITH r AS (SELECT doc_id, {_W} AS w FROM documents)
+SELECT doc_id, 0 AS no, CASE WHEN doc_id % 2 = 0 THEN w ELSE 'Here: ' || w || ' done' END AS candidate FROM r
+UNION ALL SELECT doc_id, 1, w[17:len(w) - 1] FROM r UNION ALL SELECT doc_id, 2, w FROM r""")
 def q_candidates(spark, sf_dir):
     return _replies(spark, sf_dir).select("doc_id", F.posexplode(T.json_candidates(T.strip_fence(F.col("content")))).alias("no", "candidate"))
 
 
 @query("error_heads", f"WITH {CHUNKS_SQL} SELECT doc_id, chunk_no, text[1:160] AS short, text[1:240] AS long FROM chunks")
 def q_heads(spark, sf_dir):
-    return chunks(spark, sf_dir).select("doc_id", "chunk_no", F.substring("text", 1, 160).alias("short"), F.substring("text", 1, 240).alias("long"))
+    return chunks(spark, sf_dir).select("doc_id", "chunk_no", T.head(F.col("text"), 160).alias("short"), T.head(F.col("text"), 240).alias("long"))
 
 
 @query("tail_lines", "SELECT doc_id, array_to_string(ls[greatest(1, len(ls) - 4):], chr(10)) AS tail FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)")
@@ -129,3 +130,19 @@ def q_content(spark, sf_dir):
     reason = F.when(F.col("turn") % 2 == 0, "stop")
     body = F.to_json(F.struct(F.struct(F.col("text").alias("content")).alias("message"), reason.alias("done_reason")))
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", S.message_content(body).alias("content"), S.empty_reply_hint(body).alias("hint"))
+
+
+_SHAPES = [
+    '["# a", "b"]', '{"translated": ["# a", "b"]}', '{"items": [], "results": [{"translation": "# a"}, {"ja": "", "text": "b"}]}', '{"1": "b", "0": "# a", "10": ""}',
+    '{"2": "b", "1": "# a"}', '{"output": "# a"}', '["# a"]', '["# a", ""]', '["# a", 7]', "no json", '{"text": ["# a", {"ja": " b "}]}', "Here [\"# a\", \"b\"] it is",
+]
+_SAID = ["a", "a", "a", None, "a", None, None, None, None, None, "a", "a"]
+
+
+@query("reply_shapes", f"""SELECT doc_id, i AS shape, CASE WHEN ok THEN doc_id || ' a' END AS a, CASE WHEN ok THEN 'b' END AS b
+FROM documents, (VALUES {", ".join(f"({i}, {'true' if x else 'false'})" for i, x in enumerate(_SAID))}) s(i, ok)""")
+def q_shapes(spark, sf_dir):
+    """All shapes that a reply may have, and some that don't count."""
+    shapes = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.array(*[F.lit(x) for x in _SHAPES])).alias("shape", "content"))
+    parsed = shapes.select("doc_id", "shape", T.parse_reply(F.replace("content", F.lit("#"), F.col("doc_id").cast("string")), F.lit(2)).alias("t"))
+    return parsed.select("doc_id", "shape", F.col("t")[0].alias("a"), F.col("t")[1].alias("b"))

@@ -38,10 +38,10 @@ def installed_models(replies: DataFrame, body: str = "value") -> DataFrame:
     return replies.select(F.explode(parsed["models"]).alias("m")).select("m.name").where("name is not null and name <> ''").distinct()
 
 
-def service_status(replies: DataFrame, body: str = "value") -> DataFrame:
+def service_status(replies: DataFrame, body: str = "value", keys: list[str] | None = None) -> DataFrame:
     """``status, ready`` of the model service, or that it is unavailable."""
     parsed = F.from_json(body, "status string, ready boolean")
-    return replies.select(F.coalesce(parsed["status"], F.lit("unavailable")).alias("status"), F.coalesce(parsed["ready"], F.lit(False)).alias("ready"))
+    return replies.select(*(keys or []), F.coalesce(parsed["status"], F.lit("unavailable")).alias("status"), F.coalesce(parsed["ready"], F.lit(False)).alias("ready"))
 
 
 def source_type(name: Column) -> Column:

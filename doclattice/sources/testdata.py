@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WIDTH, HEIGHT = 612.0, 792.0
@@ -69,9 +69,9 @@ def page_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.withColumn("image_path", F.format_string("page-%d-%03d.png", "doc_id", "page_no"))
 
 
-def tex_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two files a document: a main file with a section, a formula and a table, and a bare fragment."""
-    docs = table(spark, sf_dir, "documents")
+def tex_files(spark: SparkSession, sf_dir: str, text: Column | None = None) -> DataFrame:
+    """Two files a document: a main file with a section, a formula and a table, and a bare fragment. ``text`` takes the place of the documents' texts."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", (F.col("text") if text is None else text).alias("text"))
     title = F.expr("array_join(slice(split(replace(text, '\n', ' '), ' '), 1, 5), ' ')")
     head = F.expr(r"slice(split(replace(text, '\n', ' '), ' '), 1, 3)")
     cells = F.array_join(F.transform(head, lambda x: F.concat(x, F.lit(" cell"))), " & ")

@@ -113,3 +113,23 @@ def test_stream_equals_batch(spark, sf_dir, tmp_path):
     got = {r["job_id"]: (r["status"], r["percent"]) for r in spark.sql("select job_id, max_by(struct(status, percent), last_seq) s from states group by 1").select("job_id", "s.*").collect()}
     want = {r["job_id"]: (r["status"], r["percent"]) for r in J.latest_state(job_events(spark, sf_dir)).collect()}
     assert got == want
+
+
+def test_structured():
+    """A region that fails as structured is tried plain; engines without free text fall back region by region."""
+
+    class Picky(V.FunctionTranslator):
+        def translate_batch_structured(self, texts):
+            if "b" in texts:
+                raise V.TranslationError("no structured reply")
+            return [t.upper() for t in texts]
+
+    assert V.structured_regions(["a", "b", "c"], Picky(lambda ts: ["plain " + t for t in ts])) == [("A", "ok"), ("plain b", "plain"), ("C", "ok")]
+
+    def never(texts):
+        raise V.TranslationError("down")
+
+    assert V.structured_regions(["a", "b"], Picky(never, engine="nmt")) == [("a", "source"), ("b", "source")]
+    assert V.structured_regions(["a"], V.FunctionTranslator(lambda ts: [""])) == [("a", "ok")]
+    assert V.halving(["a", "b"], V.FunctionTranslator(never)) == [("a", "source"), ("b", "source")]
+    assert V.halving(["a"], V.FunctionTranslator(lambda ts: 1 / 0)) == [("a", "source")]
