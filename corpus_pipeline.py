@@ -1,7 +1,10 @@
 """The corpus pipeline: quality, line dedup, near-dedup, mixing, packing.
 
 ``STAGES`` lists (name, function); a function takes (spark, docs, sf_dir) and returns what it keeps. All but the
-last return the columns of ``documents``.
+last return the columns of their input, whatever their names.
+
+Defined cases are those of the operators: null, empty and very long texts are scored, compared and counted whole; documents without words are near-duplicates of
+each other; repeated rows are rows of their own for quality, mixing and packing, keep their lines once and are near-duplicates; null ids come last; an empty table stays empty.
 """
 
 from __future__ import annotations
