@@ -29,7 +29,7 @@ def with_next(df: DataFrame, id_col: str, tie: str, carried: dict[str, str], pre
     Ids equal or null (last) go by descending ``tie`` (a long). Rows are dealt to buckets of about 500 by ranges of ids, whose bounds are
     quantiles found in one aggregate (4096 at most), and a copy of each bucket's first row is laid after the last
     row of the bucket above, so that the window stays within buckets. ``prepare`` is applied once the rows are dealt, before the window. The
-    driver sees the bounds and one id and tie of each bucket, never more.
+    driver sees the bounds and one id and tie of each bucket, never more. Beyond ``MOST * ROWS`` rows the buckets grow, and equal ids share one; names that begin with two underscores are the function's own.
     """
     n = df.count()
     buckets = min(MOST, n // ROWS)
@@ -37,15 +37,15 @@ def with_next(df: DataFrame, id_col: str, tie: str, carried: dict[str, str], pre
     if buckets > 1:
         at = [i / buckets for i in range(1, buckets)]
         bounds = sorted({int(b) for b in df.agg(F.percentile_approx(id_col, at, 10000)).first()[0] or []})
-    dealt = df.withColumn("_b", F.expr(_bucket(id_col, tie, bounds)))
-    first = sorted(dealt.groupBy("_b").agg(F.max(F.struct(id_col, tie)).alias("m")).select("_b", "m.*").collect(), reverse=True)
+    dealt = df.withColumn("__b", F.expr(_bucket(id_col, tie, bounds)))
+    first = sorted(dealt.groupBy("__b").agg(F.max(F.struct(id_col, tie)).alias("m")).select("__b", "m.*").collect(), reverse=True)
     copies = [(r[0], r[1], r[2], first[i - 1][0]) for i, r in enumerate(first)]
-    tops = df.sparkSession.createDataFrame(copies, "_b int, _id long, _tie long, _to int")
-    marked = dealt.join(F.broadcast(tops), "_b", "left")
-    is_top = F.col(id_col).eqNullSafe(F.col("_id")) & F.col(tie).eqNullSafe(F.col("_tie"))
-    here, there = F.struct(F.col("_b").alias("b"), F.lit(0).alias("copy")), F.struct(F.col("_to").alias("b"), F.lit(1).alias("copy"))
-    spread = marked.select(*df.columns, F.explode(F.when(is_top, F.array(here, there)).otherwise(F.array(here))).alias("_at")).select(*df.columns, "_at.*")
-    ready = prepare(spread.repartition("b"))
-    order = W.partitionBy("b").orderBy(F.col("copy"), F.col(id_col).desc_nulls_last(), F.col(tie).desc())
+    tops = df.sparkSession.createDataFrame(copies, "__b int, __id long, __tie long, __to int")
+    marked = dealt.join(F.broadcast(tops), "__b", "left")
+    is_top = F.col(id_col).eqNullSafe(F.col("__id")) & F.col(tie).eqNullSafe(F.col("__tie"))
+    here, there = F.struct(F.col("__b").alias("__at"), F.lit(0).alias("__copy")), F.struct(F.col("__to").alias("__at"), F.lit(1).alias("__copy"))
+    spread = marked.select(*df.columns, F.explode(F.when(is_top, F.array(here, there)).otherwise(F.array(here))).alias("__where")).select(*df.columns, "__where.*")
+    ready = prepare(spread.repartition("__at"))
+    order = W.partitionBy("__at").orderBy(F.col("__copy"), F.col(id_col).desc_nulls_last(), F.col(tie).desc())
     ahead = ready.select("*", *[F.lead(c).over(order).alias(new) for new, c in carried.items()])
-    return ahead.where("copy = 0").drop("b", "copy")
+    return ahead.where("__copy = 0").drop("__at", "__copy")

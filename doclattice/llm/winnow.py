@@ -4,8 +4,12 @@ Hashes of all overlapping k-grams of code points; of every window of w hashes th
 rightmost where several are equal; position and hash of each choice are kept. Any run of ``w + k - 1``
 code points that two texts share gives a common hash.
 
+A gram's hash is rolled from the hashes of its parts: parts of ``PART`` code points are hashed once for each place, and the grams that overlap there share them. (A polynomial
+that is updated from gram to gram would need a running fold over the text, which SQL's functions can only write by copying their array at each step.)
+
 Defined cases: a null text counts as empty; a text shorter than k is one gram, the empty text too; texts with
-fewer than w grams are one window; a text of any length is read whole (positions up to 2**31 - 1); repeated rows each get their result.
+fewer than w grams are one window; a text of any length is read whole (positions up to 2**31 - 1); repeated rows each get their result; an empty table gives an empty
+result; other columns are kept, whatever their names, but one named like the result is replaced by it.
 """
 
 from __future__ import annotations
@@ -13,28 +17,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-GRAM, WINDOW = 12, 8
+GRAM, WINDOW, PART = 12, 8, 3
 _TOP = 2**31 - 1
 
 
-def add_marks(df: DataFrame, text_col: str, out: str, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
-    """Adds ``out``: the chosen (hash, position) pairs as one long each, in order of the text.
+def add_marks(df: DataFrame, text_col: str, out: str, gram: int = GRAM, window: int = WINDOW, part: int = PART) -> DataFrame:
+    """Adds ``out``: the chosen (hash, position) pairs as one long each, in order of the text. ``gram`` is a multiple of ``part``.
 
-    A long holds 32 bits of XXH64 above ``2**31 - 1 - position``, so that the smallest of a window is also the
-    rightmost of equal hashes. SQL has no running update of a hash: each gram is hashed whole, to the same effect.
-    Window minima come by doubling: widths 1, 2, 4, then the rest.
+    A long holds 32 bits of the hash above ``2**31 - 1 - position``, so that the smallest of a window is also the
+    rightmost of equal hashes. Window minima come by doubling: widths 1, 2, 4, then the rest.
     """
-    names = [c for c in df.columns if c != out]
-    grams = f"if(char_length(_w) < {gram}, array(_w), regexp_extract_all(_w, '(?s)(?=(.{{{gram}}})).', 1))"
-    step = df.select(*[F.col(f"`{c}`") for c in names], F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_w"))
-    step = step.select(*names, F.expr(f"transform({grams}, (g, i) -> shiftleft(xxhash64(g) & 4294967295, 31) | ({_TOP} - i))").alias("_all"))
-    step = step.withColumn("_m", F.col("_all"))
+    held = [F.col(f"row.`{c}`").alias(c) for c in df.columns if c != out]
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("t")
+    packed = lambda h, at: f"(shiftleft({h} & 4294967295, 31) | ({_TOP} - {at}))"
+    parts = f"transform(sequence(0, s.n - {part}), i -> xxhash64(substring(s.b, 4 * i + 1, {4 * part})))"
+    rolled = "xxhash64(" + ", ".join(f"p[i + {k}]" for k in range(0, gram, part)) + ")"
+    grams = f"transform(array({parts}), p -> transform(sequence(0, s.n - {gram}), i -> {packed(rolled, 'i')}))[0]"
+    # a value of a lambda's own is computed once: as a column it would be put in place of its name for each element
+    every = f"transform(array(struct(encode(t, 'UTF-32') as b, char_length(t) as n)), s -> if(s.n < {gram}, array({packed('xxhash64(s.b)', '0L')}), {grams}))[0]"
+    step = df.select(F.struct("*").alias("row"), text).select("row", F.expr(every).alias("all"))
+    step = step.withColumn("m", F.col("all"))
     width = 1
     while width < window:
         by = min(width, window - width)
-        step = step.select(*names, "_all", F.expr(f"zip_with(slice(_m, 1, greatest(size(_m) - {by}, 0)), slice(_m, {1 + by}, size(_m)), (a, b) -> least(a, b))").alias("_m"))
+        step = step.select("row", "all", F.expr(f"zip_with(slice(m, 1, greatest(size(m) - {by}, 0)), slice(m, {1 + by}, size(m)), (a, b) -> least(a, b))").alias("m"))
         width += by
-    return step.select(*names, F.expr(f"if(size(_all) <= {window}, array(array_min(_all)), array_distinct(_m))").alias(out))
+    return step.select(*held, F.expr(f"if(size(all) <= {window}, array(array_min(all)), array_distinct(m))").alias(out))
 
 
 def edit_start(kept: str, gram: int = GRAM, window: int = WINDOW) -> str:
@@ -77,4 +85,4 @@ def likeness(a: str, b: str) -> Column:
 
 def fingerprint(docs: DataFrame, text_col: str = "text", gram: int = GRAM, window: int = WINDOW) -> DataFrame:
     """All columns of ``docs`` and ``winnowed``: array<struct<hash, pos>>."""
-    return add_marks(docs, text_col, "_marks", gram, window).withColumn("winnowed", positions("_marks")).drop("_marks")
+    return add_marks(docs, text_col, "winnowed", gram, window).withColumn("winnowed", positions("winnowed"))

@@ -107,9 +107,17 @@ def test_simhash_odd(spark, odd, none):
     assert near_duplicates(none).count() == keep_one(none).count() == 0
 
 
+def brute_gram(gram):
+    """The hashes of a gram's parts, hashed one after the other."""
+    h = 42
+    for i in range(0, GRAM, 3):
+        part = xxhash.xxh64_intdigest(gram[i : i + 3].encode("utf-32-be"), 42)
+        h = xxhash.xxh64_intdigest(part.to_bytes(8, "little"), h)
+    return h & 0xFFFFFFFF
+
+
 def brute_winnow(text):
-    grams = [text[i : i + GRAM] for i in range(len(text) - GRAM + 1)] or [text]
-    h = [xxhash.xxh64_intdigest(g.encode(), 42) & 0xFFFFFFFF for g in grams]
+    h = [brute_gram(text[i : i + GRAM]) for i in range(len(text) - GRAM + 1)] or [xxhash.xxh64_intdigest(text.encode("utf-32-be"), 42) & 0xFFFFFFFF]
     windows = [range(i, i + WINDOW) for i in range(len(h) - WINDOW + 1)] or [range(len(h))]
     return sorted({min(((h[i], -i) for i in w)) for w in windows}, key=lambda x: -x[1])
 
@@ -120,6 +128,16 @@ def test_winnow(spark, text):
     assert [(m["hash"], -m["pos"]) for m in got] == brute_winnow(text)
 
 
+def test_winnow_odd(spark, odd, none, tmp_path):
+    got = winnow(odd.withColumnsRenamed({"row": "all", "key": "m"}))
+    assert got.columns == [*odd.withColumnsRenamed({"row": "all", "key": "m"}).columns, "winnowed"] and got.count() == odd.count()
+    assert {r["winnowed"][0]["pos"] for r in got.where("text is null or text = ''").collect()} == {0}
+    assert winnow(none).count() == 0
+    for name, docs, n in (("odd", odd, odd.count()), ("none", none, 0)):
+        docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        assert op7.query(spark, f"{tmp_path}/{name}").count() == n
+
+
 def test_spliced(spark):
     """Marks of an edited text, spliced from those of its original, are those of the text itself."""
     r = random.Random(8)
@@ -154,7 +172,11 @@ def test_op7(spark, sf_dir):
         half = len(docs[i]) // 2
         edited = docs[i][: len(docs[i]) - half] + docs[j][:half]
         assert got[i]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
-        a, b, c = ({h for h, _ in brute_winnow(t)} for t in (docs[i], edited, docs[j]))
+        own, other = brute_winnow(docs[i]), brute_winnow(edited)
+        for marks, name in ((own, "fingerprint"), (other, "edited_fingerprint")):
+            said = ",".join(str(h << 31 | 2**31 - 1 + at) for h, at in marks)
+            assert got[i][name] == hashlib.sha256(said.encode()).hexdigest()
+        a, b, c = ({h for h, _ in m} for m in (own, other, brute_winnow(docs[j])))
         assert abs(got[i]["near_edited"] - len(a & b) / len(a | b)) < 1e-9
         assert abs(got[i]["near_next"] - len(a & c) / len(a | c)) < 1e-9
 

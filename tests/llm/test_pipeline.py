@@ -34,3 +34,14 @@ def test_clean_documents_stay(spark, sf_dir, steps):
 
 def test_run_equals_stages(spark, sf_dir, steps):
     assert corpus_pipeline.run(spark, sf_dir).count() == steps[-1].count()
+
+
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES)
+def test_stages_odd(spark, sf_dir, odd, none, name, stage):
+    """Nulls, empty and very long texts, repeated rows, an empty table, and columns named as the operators name theirs."""
+    for docs in (odd, none):
+        got = stage(spark, docs, sf_dir)
+        rows = got.count()
+        assert rows <= 2 * docs.count() and (rows > 0) == (docs is odd)
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert got.columns == docs.columns
