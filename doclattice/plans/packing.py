@@ -172,7 +172,12 @@ def q_page_chunks(spark, sf_dir):
     return page_chunks(page_texts(spark, sf_dir), "nmt")
 
 
-@query("sentence_split_pack", None)
+_UNITS = r"""s AS (SELECT doc_id, unnest(ss) AS sentence, unnest(range(len(ss))) AS i FROM (SELECT doc_id, list_filter(string_split(regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '([.!?]) ', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS ss FROM documents)),
+cut AS (SELECT doc_id, i, string_split(sentence, ' ') AS ws FROM s),
+units AS (SELECT doc_id, i * 100000 + k AS no, ws[k * 62 + 1:k * 62 + 62] AS u FROM (SELECT *, unnest(range((len(ws) + 61) // 62)) AS k FROM cut))"""
+
+
+@query("sentence_split_pack", f"WITH RECURSIVE {_UNITS}, {greedy_sql('units', 'doc_id', 'no', 'len(u)', None, 62)} SELECT doc_id, batch_id::INT AS piece_no, string_agg(array_to_string(u, ' '), ' ' ORDER BY rn) AS piece FROM b GROUP BY doc_id, batch_id")
 def q_sentences(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return docs.select("doc_id", F.posexplode(sentence_pieces(F.col("text"), 64)).alias("piece_no", "piece"))
