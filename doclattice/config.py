@@ -79,3 +79,24 @@ def batch_limits(engine: str, mode: str, settings: Settings = DEFAULT) -> tuple[
     """(items, characters) for an engine and a mode; an unknown mode counts as quality."""
     table = {(e, m): (i, c) for e, m, i, c in settings.batch_limits}
     return table.get((engine, mode)) or table[engine, "quality"]
+
+# Models by engine, the first of each being its default.
+MODELS = {
+    "nmt": ["nllb-200-distilled-600m"],
+    "ollama": [
+        "qwen2.5:3b-instruct",
+        "qwen2.5:3b",
+        "gemma3:4b",
+        "qwen3:4b",
+        "qwen2.5:7b-instruct",
+        "qwen2.5:7b",
+        "qwen3:8b",
+        "deepseek-r1:7b",
+        "llama3.1:8b",
+        "gemma2:9b",
+        "gpt-oss:20b",
+        "qwen3:30b",
+        "gemma3:27b",
+        "deepseek-r1:32b",
+    ],
+}

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..config import DEFAULT, Settings
+from ..config import DEFAULT, MODELS, Settings
 from ..functions.limits import job_memory_mb
 
 TERMINAL = ("complete", "error")
@@ -187,3 +187,17 @@ def catalog_options(options: DataFrame, installed: DataFrame) -> DataFrame:
     return met.select("engine", "value", "label", F.when(F.col("_any"), F.coalesce("_there", F.lit(False))).alias("installed"))
 
 
+
+
+def model_options(spark) -> DataFrame:
+    """The engines' models: ``engine, value, is_default``; a few rows."""
+    return spark.createDataFrame([(e, m, i == 0) for e, models in MODELS.items() for i, m in enumerate(models)], "engine string, value string, is_default boolean")
+
+
+def public_models(options: DataFrame, installed: DataFrame) -> DataFrame:
+    """The catalogue as one row: ``installed`` (names in order) and ``catalog``, nested JSON of all engines with their models."""
+    names = installed.agg(F.array_sort(F.collect_set("name")).alias("installed")).withColumn("_k", F.lit(1))
+    each = catalog_options(options.withColumn("label", F.col("value")), installed).join(options.select("engine", "value", "is_default"), ["engine", "value"])
+    models = each.groupBy("engine").agg(F.array_sort(F.collect_list(F.struct("value", "is_default", "installed"))).alias("models"))
+    whole = models.agg(F.to_json(F.array_sort(F.collect_list(F.struct("engine", "models")))).alias("catalog")).withColumn("_k", F.lit(1))
+    return names.join(F.broadcast(whole), "_k").drop("_k")  # one row each

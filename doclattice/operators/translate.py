@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..config import DEFAULT, Settings, batch_limits
+from ..config import DEFAULT, ENGINES, MODELS, Settings, batch_limits
 from ..functions.text import is_blank, py_chunks, squeeze, strip
 from .folds import greedy_batches
 from .segments import page_chunks
@@ -67,10 +67,13 @@ def register_translator(engine: str, make: Callable[[str | None], Translator]) -
 
 
 def build_translator(engine: str, model: str | None = None) -> Translator:
+    """The translator of an engine (``copy``, ``nmt`` or ``ollama``, or one of a caller's own) for a model, by default the engine's first. Model services are plug-ins: theirs must be registered."""
     name = engine.strip().lower()
-    if name not in _REGISTRY:
-        raise ValueError(f"unknown translation engine: {engine}")
-    return _REGISTRY[name](model)
+    if name in _REGISTRY:
+        return _REGISTRY[name](model or next(iter(MODELS.get(name, [])), None))
+    if name in ENGINES:
+        raise LookupError(f"no plug-in is registered for the engine {name}")
+    raise ValueError(f"unknown translation engine: {engine}")
 
 
 def copy_expression(c: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..config import DEFAULT
+from ..config import DEFAULT, MODELS
 from ..functions.limits import mb_to_gb
 from ..operators import jobs as J
 from ..sources import system as S
@@ -202,3 +202,16 @@ def q_service_status(spark, sf_dir):
 @query("memory_gb", "SELECT s_suppkey, round_even(s_suppkey * 1536 / 1024, 2) AS gb FROM supplier")
 def q_gb(spark, sf_dir):
     return table(spark, sf_dir, "supplier").select("s_suppkey", mb_to_gb(F.col("s_suppkey") * 1536).alias("gb"))
+
+
+_OPTIONS = "(VALUES " + ", ".join(f"('{e}', '{m}', {'true' if i == 0 else 'false'})" for e, models in MODELS.items() for i, m in enumerate(models)) + ") o(engine, value, is_default)"
+
+
+@query("public_models", f"""WITH there AS (SELECT DISTINCT CASE WHEN s_suppkey % 3 = 0 THEN 'qwen3:30b' WHEN s_suppkey % 3 = 1 THEN 'gemma2:9b' ELSE 'own-' || s_suppkey END AS name FROM supplier),
+m AS (SELECT engine, string_agg('{{"value":"' || value || '","is_default":' || is_default || ',"installed":' || (value IN (SELECT name FROM there)) || '}}', ',' ORDER BY value) AS models FROM {_OPTIONS} GROUP BY engine)
+SELECT (SELECT string_agg(name, ',' ORDER BY name) FROM there) AS installed, '[' || string_agg('{{"engine":"' || engine || '","models":[' || models || ']}}', ',' ORDER BY engine) || ']' AS catalog FROM m""")
+def q_public_models(spark, sf_dir):
+    n = F.col("s_suppkey")
+    name = F.when(n % 3 == 0, "qwen3:30b").when(n % 3 == 1, "gemma2:9b").otherwise(F.concat(F.lit("own-"), n.cast("string")))
+    replies = table(spark, sf_dir, "supplier").select(F.to_json(F.struct(F.array(F.struct(name.alias("name"))).alias("models"))).alias("value"))
+    return J.public_models(J.model_options(spark), S.installed_models(replies)).select(F.array_join("installed", ",").alias("installed"), "catalog")

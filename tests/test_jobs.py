@@ -133,3 +133,16 @@ def test_structured():
     assert V.structured_regions(["a"], V.FunctionTranslator(lambda ts: [""])) == [("a", "ok")]
     assert V.halving(["a", "b"], V.FunctionTranslator(never)) == [("a", "source"), ("b", "source")]
     assert V.halving(["a"], V.FunctionTranslator(lambda ts: 1 / 0)) == [("a", "source")]
+
+
+def test_registry():
+    assert V.build_translator(" Copy ").translate_batch([" a "]) == ["[Copy only]\na"]
+    with pytest.raises(LookupError):
+        V.build_translator("nmt")
+    with pytest.raises(ValueError):
+        V.build_translator("other")
+    V.register_translator("nmt", lambda model: V.FunctionTranslator(lambda ts: [model] * len(ts), "nmt"))
+    try:
+        assert V.build_translator("NMT").translate_batch(["x"]) == ["nllb-200-distilled-600m"]
+    finally:
+        V._REGISTRY.pop("nmt")
