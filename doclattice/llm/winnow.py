@@ -33,16 +33,15 @@ def add_marks(df: DataFrame, text_col: str, out: str, gram: int = GRAM, window:
     parts = f"transform(sequence(0, s.n - {part}), i -> xxhash64(substring(s.b, 4 * i + 1, {4 * part})))"
     rolled = "xxhash64(" + ", ".join(f"p[i + {k}]" for k in range(0, gram, part)) + ")"
     grams = f"transform(array({parts}), p -> transform(sequence(0, s.n - {gram}), i -> {packed(rolled, 'i')}))[0]"
-    # a value of a lambda's own is computed once: as a column it would be put in place of its name for each element
+    # a value of a lambda's own is computed once: as a column it would be put in place of its name, wherever that stands
     every = f"transform(array(struct(encode(t, 'UTF-32') as b, char_length(t) as n)), s -> if(s.n < {gram}, array({packed('xxhash64(s.b)', '0L')}), {grams}))[0]"
-    step = df.select(F.struct("*").alias("row"), text).select("row", F.expr(every).alias("all"))
-    step = step.withColumn("m", F.col("all"))
-    width = 1
+    least, width = "every", 1
     while width < window:
         by = min(width, window - width)
-        step = step.select("row", "all", F.expr(f"zip_with(slice(m, 1, greatest(size(m) - {by}, 0)), slice(m, {1 + by}, size(m)), (a, b) -> least(a, b))").alias("m"))
+        least = f"transform(array({least}), m -> zip_with(slice(m, 1, greatest(size(m) - {by}, 0)), slice(m, {1 + by}, size(m)), (a, b) -> least(a, b)))[0]"
         width += by
-    return step.select(*held, F.expr(f"if(size(all) <= {window}, array(array_min(all)), array_distinct(m))").alias(out))
+    marks = f"transform(array({every}), every -> if(size(every) <= {window}, array(array_min(every)), array_distinct({least})))[0]"
+    return df.select(F.struct("*").alias("row"), text).select(*held, F.expr(marks).alias(out))
 
 
 def edit_start(kept: str, gram: int = GRAM, window: int = WINDOW) -> str:
