@@ -4,12 +4,9 @@ Hashes of all overlapping k-grams of code points; of every window of w hashes th
 rightmost where several are equal; position and hash of each choice are kept. Any run of ``w + k - 1``
 code points that two texts share gives a common hash.
 
-A gram's hash is rolled from the hashes of its parts: parts of ``PART`` code points are hashed once for each place, and the grams that overlap there share them. (A polynomial
-that is updated from gram to gram would need a running fold over the text, which SQL's functions can only write by copying their array at each step.)
-
 Defined cases: a null text counts as empty; a text shorter than k is one gram, the empty text too; texts with
 fewer than w grams are one window; a text of any length is read whole (positions up to 2**31 - 1); repeated rows each get their result; an empty table gives an empty
-result; other columns are kept, whatever their names, but one named like the result is replaced by it.
+result; other columns are kept, but one named like the result is replaced by it, and names that begin with two underscores are the function's own.
 """
 
 from __future__ import annotations
@@ -17,31 +14,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-GRAM, WINDOW, PART = 12, 8, 3
+GRAM, WINDOW = 12, 8
 _TOP = 2**31 - 1
 
 
-def add_marks(df: DataFrame, text_col: str, out: str, gram: int = GRAM, window: int = WINDOW, part: int = PART) -> DataFrame:
-    """Adds ``out``: the chosen (hash, position) pairs as one long each, in order of the text. ``gram`` is a multiple of ``part``.
+def add_marks(df: DataFrame, text_col: str, out: str, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
+    """Adds ``out``: the chosen (hash, position) pairs as one long each, in order of the text.
 
-    A long holds 32 bits of the hash above ``2**31 - 1 - position``, so that the smallest of a window is also the
-    rightmost of equal hashes. Window minima come by doubling: widths 1, 2, 4, then the rest.
+    A long holds 32 bits of XXH64 above ``2**31 - 1 - position``, so that the smallest of a window is also the
+    rightmost of equal hashes. Each gram is hashed whole, to the same effect as a rolling update: SQL has no running fold that doesn't copy
+    its array at each step, and hashes rolled from those of their parts took twice the time (see README).
+    Window minima come by doubling: widths 1, 2, 4, then the rest.
     """
-    held = [F.col(f"row.`{c}`").alias(c) for c in df.columns if c != out]
-    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("t")
-    packed = lambda h, at: f"(shiftleft({h} & 4294967295, 31) | ({_TOP} - {at}))"
-    parts = f"transform(sequence(0, s.n - {part}), i -> xxhash64(substring(s.b, 4 * i + 1, {4 * part})))"
-    rolled = "xxhash64(" + ", ".join(f"p[i + {k}]" for k in range(0, gram, part)) + ")"
-    grams = f"transform(array({parts}), p -> transform(sequence(0, s.n - {gram}), i -> {packed(rolled, 'i')}))[0]"
-    # a value of a lambda's own is computed once: as a column it would be put in place of its name, wherever that stands
-    every = f"transform(array(struct(encode(t, 'UTF-32') as b, char_length(t) as n)), s -> if(s.n < {gram}, array({packed('xxhash64(s.b)', '0L')}), {grams}))[0]"
-    least, width = "every", 1
+    quoted = [F.col(f"`{c}`") for c in df.columns if c != out]
+    grams = f"if(char_length(__text) < {gram}, array(__text), regexp_extract_all(__text, '(?s)(?=(.{{{gram}}})).', 1))"
+    step = df.select(*quoted, F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("__text"))
+    step = step.select(*quoted, F.expr(f"transform({grams}, (g, i) -> shiftleft(xxhash64(g) & 4294967295, 31) | ({_TOP} - i))").alias("__grams"))
+    step = step.withColumn("__least", F.col("__grams"))
+    width = 1
     while width < window:
         by = min(width, window - width)
-        least = f"transform(array({least}), m -> zip_with(slice(m, 1, greatest(size(m) - {by}, 0)), slice(m, {1 + by}, size(m)), (a, b) -> least(a, b)))[0]"
+        step = step.select(*quoted, "__grams", F.expr(f"zip_with(slice(__least, 1, greatest(size(__least) - {by}, 0)), slice(__least, {1 + by}, size(__least)), (a, b) -> least(a, b))").alias("__least"))
         width += by
-    marks = f"transform(array({every}), every -> if(size(every) <= {window}, array(array_min(every)), array_distinct({least})))[0]"
-    return df.select(F.struct("*").alias("row"), text).select(*held, F.expr(marks).alias(out))
+    return step.select(*quoted, F.expr(f"if(size(__grams) <= {window}, array(array_min(__grams)), array_distinct(__least))").alias(out))
 
 
 def edit_start(kept: str, gram: int = GRAM, window: int = WINDOW) -> str:

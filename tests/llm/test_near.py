@@ -107,17 +107,9 @@ def test_simhash_odd(spark, odd, none):
     assert near_duplicates(none).count() == keep_one(none).count() == 0
 
 
-def brute_gram(gram):
-    """The hashes of a gram's parts, hashed one after the other."""
-    h = 42
-    for i in range(0, GRAM, 3):
-        part = xxhash.xxh64_intdigest(gram[i : i + 3].encode("utf-32-be"), 42)
-        h = xxhash.xxh64_intdigest(part.to_bytes(8, "little"), h)
-    return h & 0xFFFFFFFF
-
-
 def brute_winnow(text):
-    h = [brute_gram(text[i : i + GRAM]) for i in range(len(text) - GRAM + 1)] or [xxhash.xxh64_intdigest(text.encode("utf-32-be"), 42) & 0xFFFFFFFF]
+    grams = [text[i : i + GRAM] for i in range(len(text) - GRAM + 1)] or [text]
+    h = [xxhash.xxh64_intdigest(g.encode(), 42) & 0xFFFFFFFF for g in grams]
     windows = [range(i, i + WINDOW) for i in range(len(h) - WINDOW + 1)] or [range(len(h))]
     return sorted({min(((h[i], -i) for i in w)) for w in windows}, key=lambda x: -x[1])
 
@@ -129,8 +121,8 @@ def test_winnow(spark, text):
 
 
 def test_winnow_odd(spark, odd, none, tmp_path):
-    got = winnow(odd.withColumnsRenamed({"row": "all", "key": "m"}))
-    assert got.columns == [*odd.withColumnsRenamed({"row": "all", "key": "m"}).columns, "winnowed"] and got.count() == odd.count()
+    got = winnow(odd.withColumnsRenamed({"row": "_all", "key": "_m"}))
+    assert got.columns == [*odd.withColumnsRenamed({"row": "_all", "key": "_m"}).columns, "winnowed"] and got.count() == odd.count()
     assert {r["winnowed"][0]["pos"] for r in got.where("text is null or text = ''").collect()} == {0}
     assert winnow(none).count() == 0
     for name, docs, n in (("odd", odd, odd.count()), ("none", none, 0)):
