@@ -141,7 +141,8 @@ def line_groups(known: DataFrame, texts_of: Callable[[DataFrame], DataFrame], si
     if wide.take(1):
         of = families.join(wide, "root", "left_semi").select(F.col("node").alias("uid"))
         by_band = held.select("band", "uid").unionByName(pairs.select("band", F.explode(F.array("head", "last")).alias("uid")))
-        links = links.unionByName(compared(by_band.join(of, "uid", "left_semi").select(F.col("band").alias("key"), "uid"), texts, similarity))
+        # an inner join, as uids are unique in ``of``: a semi-join is pushed below the union, which then counts as dealt by uid in half the partitions that it has, and the next join fails
+        links = links.unionByName(compared(by_band.join(of, "uid").select(F.col("band").alias("key"), "uid"), texts, similarity))
     return connected_components(links, "lines-cc")
 
 

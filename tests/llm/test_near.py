@@ -312,6 +312,23 @@ def test_lines_one_character(spark):
     assert {r["doc_id"]: r["n_kept"] for r in got} == {1: 1, 2: 0}
 
 
+def test_lines_wide_family_without_broadcast(spark, monkeypatch):
+    """A family that is gone through band by band, where its tables are too large to be broadcast."""
+    import doclattice.llm.lines as m
+
+    monkeypatch.setattr(m, "BLOCK", 3000)
+    monkeypatch.setattr(m, "FEW", 2)
+    r = random.Random(5)
+    words = ["".join(r.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(40)]
+    rows = [(i, " ".join([*words[: 1 + i % 39], f"n{i:04d}", *words[1 + i % 39 :]])) for i in range(80)]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = m.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert [x["doc_id"] for x in got if x["n_kept"]] == [0]
+
+
 @pytest.mark.parametrize("block, few", [(1 << 19, 8), (3000, 100), (3000, 2)])
 def test_lines_edits_of_edits(spark, monkeypatch, block, few):
     """A group in which each line is an edit of another: components hang together by links between members that aren't heads."""
