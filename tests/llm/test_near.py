@@ -329,6 +329,24 @@ def test_lines_wide_family_without_broadcast(spark, monkeypatch):
     assert [x["doc_id"] for x in got if x["n_kept"]] == [0]
 
 
+def test_pipeline_lines_wide_family_without_broadcast(spark, sf_dir, monkeypatch):
+    """The second stage of the pipeline, on the same kind of family."""
+    import corpus_pipeline
+    import doclattice.llm.lines as m
+
+    monkeypatch.setattr(m, "BLOCK", 3000)
+    monkeypatch.setattr(m, "FEW", 2)
+    r = random.Random(5)
+    words = ["".join(r.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(40)]
+    rows = [(i, " ".join([*words[: 1 + i % 39], f"n{i:04d}", *words[1 + i % 39 :]]), 0) for i in range(80)]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = corpus_pipeline.lines(spark, spark.createDataFrame(rows, "doc_id long, text string, n_chars long"), sf_dir).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert {x["doc_id"]: x["n_chars"] for x in got} == {i: len(t) if i == 0 else 0 for i, t, _ in rows}
+
+
 @pytest.mark.parametrize("block, few", [(1 << 19, 8), (3000, 100), (3000, 2)])
 def test_lines_edits_of_edits(spark, monkeypatch, block, few):
     """A group in which each line is an edit of another: components hang together by links between members that aren't heads."""
