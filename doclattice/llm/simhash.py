@@ -30,6 +30,8 @@ SEED, SHINGLE, RADIUS, BLOCK, ROWS = 42, 3, 2, 16384, 128
 #: Near-duplicates for removal: words a shingle, longs a fingerprint, radius of the candidates (at similarity 0.8, 19 of the 128 bits differ, give or take 4),
 #: least similarity, and bytes of text that a block holds, about.
 WIDE, LONGS, FAR, SIMILARITY, BYTES = 5, 2, 28, 0.8, 1 << 21
+#: For a wide radius: blocks that the fingerprints are cut into, about, and the largest of them. Each block is sent once for every block, so larger blocks send less. ``COLUMNS``: of a comparison that stays in the cache.
+BLOCKS, FAR_BLOCK, COLUMNS = 24, 65536, 2048
 
 
 def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
@@ -90,10 +92,13 @@ def _forest(x: np.ndarray, y: np.ndarray | None, radius: int) -> list[tuple[int,
     for at in range(0, len(x), ROWS):
         rows = x[at : at + ROWS]
         skip = at if y is None else 0
-        apart = np.bitwise_count(rows[:, None, 0] ^ both[None, first + skip :, 0])
-        for w in range(1, x.shape[1]):
-            apart += np.bitwise_count(rows[:, None, w] ^ both[None, first + skip :, w])
-        near = apart <= radius
+        near = np.empty((len(rows), len(both) - first - skip), bool)
+        for c in range(0, near.shape[1], COLUMNS):
+            them = both[first + skip + c : first + skip + min(c + COLUMNS, near.shape[1])]
+            apart = np.bitwise_count(rows[:, None, 0] ^ them[None, :, 0])
+            for w in range(1, x.shape[1]):
+                apart += np.bitwise_count(rows[:, None, w] ^ them[None, :, w])
+            np.less_equal(apart, radius, out=near[:, c : c + COLUMNS])
         if y is None:
             near[np.arange(len(rows)), np.arange(len(rows))] = False
         for i in np.flatnonzero(near.any(axis=1)).tolist():
@@ -115,26 +120,44 @@ def _neighbours(key: tuple[int, ...], radius: int) -> Iterator[tuple[int, ...]]:
 
 
 def _keys(parts: int) -> Column:
-    """The population counts of the parts of a fingerprint ``fp``: of the whole, or of the parts of its one long."""
+    """The population counts of the parts of a fingerprint ``fp``: of the whole, or of the parts of its one long. No parts: one tile of all."""
+    if parts == 0:
+        return F.array(F.lit(0))
     if parts == 1:
         return F.expr("array(aggregate(fp, 0, (n, x) -> n + bit_count(x)))")
     width = 64 // parts
     return F.array(*[F.expr(f"bit_count(shiftrightunsigned(fp[0], {width * i}) & {(1 << width) - 1}L)") for i in range(parts)])
 
 
-def links(prints: DataFrame, radius: int = RADIUS, parts: int | None = None, block: int = BLOCK) -> DataFrame:
+def links(prints: DataFrame, radius: int = RADIUS, parts: int | None = None, block: int | None = None) -> DataFrame:
     """``a, b``: enough pairs of nodes within the radius to connect whatever is connected. ``prints`` holds ``node`` (long) and ``fp`` (array of longs).
 
-    Without ``parts``, fingerprints of one long are cut into as many parts as make the largest tile a few blocks; for longer ones, whose radius is wide, one
-    part is best, since a tile then has few neighbours. The driver gets the size of every tile: at most (64 / parts + 1) ** parts numbers, 83521 for four parts.
+    Without ``parts``, fingerprints of one long are cut into as many parts as make the largest tile a few blocks. Where the radius is wide, nearly all tiles are
+    neighbours: there is one tile, in ``BLOCKS`` blocks or as many as keep them within ``FAR_BLOCK``. The driver gets the size of every tile: at most (64 / parts + 1) ** parts numbers, 83521 for four parts.
     """
+
+    def compare(table: pa.Table) -> pa.Table:
+        nodes = [np.array(v, np.int64) for v in table["nodes"].to_pylist()]
+        sides = [np.array(v, np.int64).view(np.uint64).reshape(len(n), -1) for v, n in zip(table["fps"].to_pylist(), nodes, strict=True)]
+        found = _forest(sides[0], sides[1] if len(sides) > 1 else None, radius)
+        of = np.concatenate(nodes).tolist()
+        return pa.table({"a": pa.array([of[i] for i, _ in found], pa.int64()), "b": pa.array([of[j] for _, j in found], pa.int64())})
+
+    return dealt(prints, radius, parts, block).groupBy("unit").applyInArrow(compare, "a bigint, b bigint")
+
+
+def dealt(prints: DataFrame, radius: int, parts: int | None = None, block: int | None = None) -> DataFrame:
+    """``unit, nodes, fps``: the blocks of each comparison, two or (a block with itself) one."""
     sizes: dict[tuple[int, ...], int] = {}
-    for parts in (parts,) if parts else (2, 4) if radius <= 4 else (1,):  # noqa: B020
+    for parts in (parts,) if parts else (2, 4) if radius <= 4 else (0,):  # noqa: B020
         sizes = {tuple(r[0]): r[1] for r in prints.groupBy(_keys(parts).alias("key")).count().collect()}
-        if max(sizes.values(), default=0) <= 4 * block:
+        if max(sizes.values(), default=0) <= 4 * (block or BLOCK):
             break
+    if block is None:
+        block = BLOCK if parts else min(max(sum(sizes.values()) // BLOCKS, 1024), FAR_BLOCK)
     blocks = {k: -(-n // block) for k, n in sizes.items()}
     several = {k: n for k, n in blocks.items() if n > 1}
+    batch_units = max(1, 16 * BLOCK // max(block, BLOCK))
     cut = F.lit(1)
     keyed = prints.select("node", "fp", _keys(parts).alias("key"))
     if several:
@@ -153,19 +176,11 @@ def links(prints: DataFrame, radius: int = RADIUS, parts: int | None = None, blo
                         a, b = sorted([me, (other, their)])
                         units.append(f"{a[0]}{a[1]}/{b[0]}{b[1]}")
                 own = [batch[c].slice(i, 1).cast(pa.list_(pa.int64())) for c in ("nodes", "fps")]
-                for at in range(0, len(units), 16):
-                    some = units[at : at + 16]
+                for at in range(0, len(units), batch_units):
+                    some = units[at : at + batch_units]
                     yield pa.RecordBatch.from_arrays([pa.array(some), *(pa.concat_arrays([c] * len(some)) for c in own)], ["unit", "nodes", "fps"])
 
-    def compare(table: pa.Table) -> pa.Table:
-        nodes = [np.array(v, np.int64) for v in table["nodes"].to_pylist()]
-        sides = [np.array(v, np.int64).view(np.uint64).reshape(len(n), -1) for v, n in zip(table["fps"].to_pylist(), nodes, strict=True)]
-        found = _forest(sides[0], sides[1] if len(sides) > 1 else None, radius)
-        of = np.concatenate(nodes).tolist()
-        return pa.table({"a": pa.array([of[i] for i, _ in found], pa.int64()), "b": pa.array([of[j] for _, j in found], pa.int64())})
-
-    dealt = packed.mapInArrow(pairs, "unit string, nodes array<bigint>, fps array<bigint>")
-    return dealt.groupBy("unit").applyInArrow(compare, "a bigint, b bigint")
+    return packed.mapInArrow(pairs, "unit string, nodes array<bigint>, fps array<bigint>")
 
 
 def components(docs: DataFrame, id_col: str, fp_col: str, radius: int = RADIUS) -> DataFrame:

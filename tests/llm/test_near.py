@@ -13,7 +13,7 @@ from doclattice.llm.neighbours import with_next
 from doclattice.llm.queries import op3, op7
 from doclattice.llm.shared import connected_components
 from doclattice.llm.shingles import char_sets, char_sketches, similar, word_sets
-from doclattice.llm.simhash import _forest, fingerprint, keep_one, links, near_duplicates
+from doclattice.llm.simhash import BLOCKS, FAR, _forest, dealt, fingerprint, keep_one, links, near_duplicates
 from doclattice.llm.winnow import GRAM, WINDOW, add_marks, edit_start, spliced
 from doclattice.llm.winnow import fingerprint as winnow
 
@@ -84,6 +84,26 @@ def test_tiles(spark, parts, block):
     assert [want.root(p) for p in prints] == [got.root(p) for p in prints]
 
 
+def test_wide_radius_sends_few_copies(spark):
+    """Each fingerprint is sent once for every block, not for every population count; no link is lost."""
+    r = np.random.default_rng(5)
+    base = r.integers(-(2**63), 2**63 - 1, (30000, 2))
+    base[1::10] = base[::10] ^ (np.int64(1) << r.integers(0, 27, (3000, 2)))
+    base[2::30] = base[::30] ^ np.int64((1 << 15) - 1)  # 30 bits: beyond the radius
+    base[3::30] = base[::30] ^ np.int64((1 << 14) - 1)
+    prints = spark.createDataFrame(list(enumerate(base.tolist())), "node long, fp array<long>").repartition(8).cache()
+    sent = dealt(prints, FAR).select("nodes").rdd.map(lambda x: len(x[0])).sum()
+    assert sent <= (BLOCKS + 3) * len(base)
+    want, got = Sets(), Sets()
+    for i in range(0, len(base), 200):
+        apart = np.bitwise_count((base[i : i + 200, None] ^ base[None]).view(np.uint64)).sum(axis=2)
+        for a, b in np.argwhere(apart <= FAR).tolist():
+            want.join(a + i, b)
+    for e in links(prints, FAR).collect():
+        got.join(e["a"], e["b"])
+    assert [want.root(i) for i in range(len(base))] == [got.root(i) for i in range(len(base))] and len({want.root(i) for i in range(len(base))}) < 27000
+
+
 def test_op3(spark, sf_dir):
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     prints = {i: brute_fp(t) for i, t in docs.items()}
