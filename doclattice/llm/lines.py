@@ -6,13 +6,13 @@ with at most ``SKETCH`` shingles the signature is the whole set, and any two tha
 4 * d or more that both have into d + 1 runs at most, one of which is long enough (sets of 4 and 5 also have bands of two). For longer lines that are
 just 0.8 alike, 99.5 % share one.
 
-Bands connect lines to families. In each family all lines meet, in blocks of bounded size, by the exact Jaccard similarity of the sets of all shingles; an
-index of rare shingles spares pairs that can't be similar, and pairs that are connected already need no look. A family of more than ``FEW`` blocks (lines may hang together by common
-passages) is gone through band by band, so that only lines which share a band meet. Either way every pair that shares a band is looked at, whatever the size of a band or family. Blocks return the links that
-connect lines, not all links. Components of links keep one line: the first by (document id, place).
+Every line of a band is compared with one of them first, then, where a band's lines aren't all connected, with others as long as that connects many (``FEW`` times at most). What isn't
+connected then is compared pair by pair, in blocks of bounded size, so every pair that shares a band is looked at or connected already, whatever the size of a band. A comparison is the exact
+Jaccard similarity of the sets of all shingles; bitmaps of the sets spare pairs that can't be so similar: two sets differ in at least as many members as their bitmaps in bits.
+Components of links keep one line: the first by (document id, place).
 
-Signing and verifying run in numpy over Arrow batches (``shingles``): SQL functions take about a microsecond for each shingle, which alone is more than the time that the
-operator may take. Lines, bands, heads, blocks and components are DataFrame operations.
+All is DataFrame operations. Shingles are hashed as exploded rows, which Spark compiles: higher-order functions take several times as long, and are left to the few lines
+whose shingles repeat so much that too few of them lie under the bound of the exploded hashes, and to the compared pairs.
 
 Defined cases: a null text counts as empty and stays null; blank lines are no lines of this kind and stay; a line shorter than a
 shingle is one shingle; a line of any length is read whole; repeated rows (same id and text) keep their lines once, in one
@@ -24,66 +24,69 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .shared import connected_components, materialize
-from .shingles import arrow_lists, char_sets, char_sketches, mix, similar
 
 SHINGLE, SKETCH, RUN, SIMILARITY = 10, 14, 3, 0.8
-#: Characters of a block, about; blocks of a family that is compared as a whole; bits of the bitmaps that spare rows a shuffle (8 MB, whatever the data).
+#: Pairs of a block, about; heads that a band's lines are compared with one after the other, at most; bits of the bitmaps that spare rows a shuffle (8 MB, whatever the data).
 BLOCK, FEW, BITS = 1 << 19, 8, 26
+#: Longs in the bitmap of a line.
+MARKS = 16
 
 
-def bands_of(flat: np.ndarray, sizes: np.ndarray, run: int = RUN) -> tuple[np.ndarray, np.ndarray]:
-    """Band hashes of sketches, which lie one after the other: one for each run; a shorter sketch is one band. Sketches of four and five also have bands of two. Also their numbers."""
-    of = np.repeat(np.arange(len(sizes)), sizes)
-    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(flat))  # members from each on
-    found, texts = [], []
+def _coded(line_col: str = "line") -> tuple[Column, Column]:
+    """A line's code points, four bytes each, and the number of its shingles (repeats included)."""
+    return F.encode(line_col, "UTF-32").alias("b"), F.greatest(F.lit(1), F.char_length(line_col) - (SHINGLE - 1)).alias("n")
 
-    def add(size: int, start: np.ndarray) -> None:
-        h = np.full(len(start), size << 52, np.uint64)
-        for j in range(size):
-            h = mix(h + flat[start + j])
-        found.append(h)
-        texts.append(of[start])
 
-    add(run, np.flatnonzero(left >= run))
-    add(run - 1, np.flatnonzero((left >= run - 1) & np.isin(sizes, (4, 5))[of]))
-    for size in range(1, run):
-        add(size, np.flatnonzero((left == size) & (sizes == size)[of]))
-    texts = np.concatenate(texts)
-    return np.concatenate(found)[np.argsort(texts, kind="stable")], np.bincount(texts, minlength=len(sizes))
+def _exploded(coded: DataFrame, *columns: str) -> DataFrame:
+    """``columns``, ``at`` (1 for the first) and ``h``, the hash, of each shingle."""
+    at = coded.select(*columns, "b", F.explode(F.expr("sequence(1, 4 * n - 3, 4)")).alias("at"))
+    return at.select(*columns, "at", F.xxhash64(F.expr(f"substring(b, at, {4 * SHINGLE})")).alias("h"))
 
 
-def signed(line_col: str, shingle: int = SHINGLE, sketch: int = SKETCH) -> Column:
-    """The bands of each line, as longs."""
+def _hashes(line: str) -> str:
+    """The same hashes as an array, for few lines. The code points are bound as a variable: a column would be encoded anew for each shingle."""
+    coded = f"named_struct('b', encode({line}, 'UTF-32'), 'n', greatest(1, char_length({line}) - {SHINGLE - 1}))"
+    return f"transform(array({coded}), c -> transform(sequence(0, c.n - 1), i -> xxhash64(substring(c.b, 4 * i + 1, {4 * SHINGLE}))))[0]"
 
-    @F.arrow_udf("array<bigint>")
-    def of(lines: pa.Array) -> pa.Array:
-        found = [bands_of(flat, n) for flat, n, _ in char_sketches(lines, shingle, sketch)]
-        return arrow_lists(np.concatenate([np.zeros(0, np.uint64), *(f[0] for f in found)]), np.concatenate([np.zeros(0, np.int64), *(f[1] for f in found)]))
 
-    return of(F.col(line_col))
+def sketched(lines: DataFrame, *columns: str) -> DataFrame:
+    """``columns`` (which tell ``lines`` apart), ``sketch`` (smallest hashes, ascending) and ``whole``: whether it is all that is asked. ``lines`` has ``line``, and is best dealt by some of ``columns``."""
+    coded = lines.select(*columns, *_coded())
+    # a bound that about twice as many hashes of a line fall under
+    bound = F.expr(f"case when n <= {2 * SKETCH} then {2**63 - 1}L else cast({2.0**64 * 2 * SKETCH!r}D / n - {2.0**63!r}D as bigint) end").alias("bound")
+    low = _exploded(coded.select("*", bound), *columns, "n", "bound").where("h <= bound or at = 1")
+    # the first is there without its hash where that is beyond the bound: a line of which no hash is below it stays a row
+    held = low.groupBy(*columns, "n").agg(F.collect_list(F.expr("case when h <= bound then h end")).alias("h"))
+    held = held.select(*columns, "n", F.expr(f"slice(sort_array(array_distinct(h)), 1, {SKETCH})").alias("sketch"))
+    return held.select(*columns, "sketch", F.expr(f"n <= {2 * SKETCH} or size(sketch) = {SKETCH}").alias("whole"))
 
 
-def _bitmap(keys: DataFrame, col: str) -> np.ndarray:
-    """Bits of the hashes in ``col``: what isn't among them has one by chance only. The driver gets ``2 ** (BITS - 3)`` bytes at most."""
+def banded(known: DataFrame) -> DataFrame:
+    """``uid, band``: one for each run of the sketch; a shorter sketch is one band. Sketches of four and five also have bands of two."""
+    s = f"size(sketch) < {RUN}"
+    at = F.explode(F.expr(f"concat(sequence(0, greatest(size(sketch) - {RUN}, 0)), case when size(sketch) in (4, 5) then sequence(1 - size(sketch), -1) else cast(array() as array<int>) end)"))
+    run = ", ".join(f"get(sketch, at + {j})" for j in range(RUN))
+    band = F.expr(f"case when at < 0 then xxhash64({RUN - 1}, get(sketch, -at - 1), get(sketch, -at)) when {s} then xxhash64(size(sketch), sketch) else xxhash64({RUN}, {run}) end")
+    return known.select("uid", "sketch", at.alias("at")).select("uid", band.alias("band"))
+
+
+def _bitmap(keys: DataFrame, col: str) -> DataFrame:
+    """Bits of the hashes in ``col``, as rows of 64 longs: ``2 ** (BITS - 3)`` bytes at most."""
     at = F.col(col).bitwiseAND((1 << BITS) - 1)
-    rows = keys.select(F.shiftright(at, 15).alias("k"), at.bitwiseAND(32767).alias("bit")).groupBy("k").agg(F.bitmap_construct_agg("bit").alias("bits")).collect()
-    out = np.zeros((1 << BITS - 15, 4096), np.uint8)
-    for r in rows:
-        out[r["k"]] = np.frombuffer(r["bits"], np.uint8)
-    return out.ravel()
+    words = keys.select(F.shiftright(at, 6).alias("word"), F.expr(f"shiftleft(1L, cast({col} & 63 as int))").alias("bits")).groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    rows = words.groupBy(F.shiftright("word", 6).alias("_k")).agg(F.map_from_entries(F.collect_list(F.struct(F.col("word").bitwiseAND(63).cast("int"), "bits"))).alias("m"))
+    return materialize(rows.select("_k", F.expr("transform(sequence(0, 63), i -> coalesce(m[i], 0L))").alias("_bits")), "line-bits")
 
 
-def _set(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    at = hashes & ((1 << BITS) - 1)
-    return bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1 > 0
+def _maybe(df: DataFrame, col: str, bitmap: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose hash is in the bitmap; others are there by chance only. The bitmap is broadcast: 8 MB and the overhead of 16384 rows at most."""
+    met = df.withColumn("_at", F.col(col).bitwiseAND((1 << BITS) - 1)).withColumn("_k", F.shiftright("_at", 12)).join(F.broadcast(bitmap), "_k")
+    return met.where("getbit(get(_bits, cast((_at >> 6) & 63 as int)), cast(_at & 63 as int)) = 1").select(*df.columns)
 
 
 def _key(id_col: str) -> Column:
@@ -102,84 +105,100 @@ def first_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lines = own.select("id", "th", F.posexplode(F.split("t", "\n")).alias("no", "line")).where(r"line rlike '\\S'")
     place = F.struct(F.col("id").alias("id"), F.col("no").alias("no"), F.col("th").alias("th"))
     hashed = lines.select(place.alias("place"), F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), "line")
-    ready = hashed.select("place", "h1", "h2", signed("line").alias("bands"))
-    distinct = ready.groupBy("h1", "h2").agg(F.min(F.struct("place", "bands")).alias("f")).select("h1", "h2", "f.place", "f.bands")
-    known = materialize(distinct.withColumn("uid", F.monotonically_increasing_id()), "lines")
-    roots = line_groups(known.select("uid", "bands"), lambda wanted: _line_texts(known.join(wanted, "uid").select("uid", "h1", "h2"), hashed), similarity)
-    grouped = known.join(roots, F.col("uid") == F.col("node"), "left").select("place", F.coalesce("root", "uid").alias("root"))
+    # lines meet by their hashes once: sketches are made where they have met
+    distinct = hashed.groupBy("h1", "h2").agg(F.min("place").alias("place"), F.first("line").alias("line")).select("h1", "h2", "place.id", "place.no", "place.th", "line")
+    known = materialize(sketched(distinct, "h1", "h2", "id", "no", "th").withColumn("uid", F.monotonically_increasing_id()), "lines")
+    texts_of = lambda wanted: _line_texts(wanted, hashed)
+    signed, short = known.where("whole").select("uid", "h1", "h2", "sketch"), known.where("not whole")
+    if short.take(1):
+        again = texts_of(short.select("uid", "h1", "h2"))
+        again = again.select("uid", F.expr(f"slice(sort_array(array_distinct({_hashes('line')})), 1, {SKETCH})").alias("sketch"))
+        signed = signed.unionByName(materialize(short.select("uid", "h1", "h2").join(again, "uid").select(*signed.columns), "line-short"))
+    roots = line_groups(signed.select("uid", "sketch"), lambda wanted: texts_of(known.select("uid", "h1", "h2").join(wanted, "uid")), similarity)
+    grouped = known.select("uid", F.struct("id", "no", "th").alias("place")).join(roots, F.col("uid") == F.col("node"), "left").select("place", F.coalesce("root", "uid").alias("root"))
     grouped = grouped.groupBy("root").agg(F.min("place").alias("place"))
     return grouped.select("place.id", "place.th", "place.no").groupBy("id", "th").agg(F.sort_array(F.collect_list("no")).alias("keep"))
 
 
 def line_groups(known: DataFrame, texts_of: Callable[[DataFrame], DataFrame], similarity: float = SIMILARITY) -> DataFrame:
-    """``node, root`` of all linked lines. ``known`` has ``uid, bands`` of different lines; ``texts_of`` gives ``uid, line`` for a frame of ``uid``."""
+    """``node, root`` of all linked lines. ``known`` has ``uid, sketch`` of different lines; ``texts_of`` gives ``uid, line`` for a frame of ``uid``."""
     # counted by partial aggregates, so a band that a third of all lines share is no task's burden
-    counted = known.select("uid", F.explode("bands").alias("band")).groupBy("band").agg(F.count(F.lit(1)).alias("c"), F.min("uid").alias("head"), F.max("uid").alias("last")).where("c > 1")
+    counted = banded(known).groupBy("band").agg(F.count(F.lit(1)).alias("c"), F.min("uid").alias("head"), F.max("uid").alias("last")).where("c > 1")
     shared = materialize(counted, "line-bands")
     big = shared.where("c > 2").select("band", "head", "c")
-    bitmap = _bitmap(big, "band")
-
-    @F.arrow_udf("array<bigint>")
-    def maybe(bands: pa.Array) -> pa.Array:
-        of = np.repeat(np.arange(len(bands)), pc.list_value_length(bands).to_numpy(zero_copy_only=False))
-        flat = bands.flatten().to_numpy()
-        kept = _set(bitmap, flat)
-        return arrow_lists(flat[kept], np.bincount(of[kept], minlength=len(bands)))
-
-    some = known.select("uid", F.explode(maybe("bands")).alias("band")).join(big, "band")
+    some = _maybe(banded(known), "band", _bitmap(big, "band")).join(big, "band")
     # bands with the same members are one
     print_ = some.groupBy("band").agg(F.expr("bit_xor(xxhash64(uid))").alias("print"), F.first("c").alias("c"), F.first("head").alias("head"))
     one = materialize(print_.groupBy("c", "head", "print").agg(F.min("band").alias("band")).select("band", "c", "head"), "line-big")
     held = materialize(some.select("band", "uid").join(one, "band"), "line-members")
-    pairs = shared.where("c = 2").select("band", "head", "last")
-    first = pairs.select(F.col("last").alias("uid"), "head").unionByName(held.where("uid <> head").select("uid", "head")).distinct()
-    families = connected_components(first.select(F.col("uid").alias("a"), F.col("head").alias("b")), "line-families")
-    texts = materialize(texts_of(families.select(F.col("node").alias("uid"))).withColumn("n", F.char_length("line") + 1), "line-texts")
-    sizes = families.join(texts.select(F.col("uid").alias("node"), "n"), "node").groupBy("root").agg(F.sum("n").alias("n"))
-    wide = sizes.where(F.col("n") > FEW * BLOCK).select("root")
-    links = compared(families.join(wide, "root", "left_anti").select(F.col("root").alias("key"), F.col("node").alias("uid")), texts, similarity)
-    if wide.take(1):
-        of = families.join(wide, "root", "left_semi").select(F.col("node").alias("uid"))
-        by_band = held.select("band", "uid").unionByName(pairs.select("band", F.explode(F.array("head", "last")).alias("uid")))
-        # an inner join, as uids are unique in ``of``: a semi-join is pushed below the union, which then counts as dealt by uid in half the partitions that it has, and the next join fails
-        links = links.unionByName(compared(by_band.join(of, "uid").select(F.col("band").alias("key"), "uid"), texts, similarity))
-    return connected_components(links, "lines-cc")
-
-
-def compared(members: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """``a, b``: links enough to connect all members (key, uid) of a key that are as similar as asked; ``texts`` has ``uid, line, n`` (characters).
-
-    Keys of one block are compared many at a time; others block by block.
-    """
-    members = members.join(texts.select("uid", "n"), "uid")
-    blocks = members.groupBy("key").agg(F.sum("n").alias("n")).where("n > 0").select("key", F.ceil(F.col("n") / BLOCK).alias("blocks"), "n")
-    units = blocks.where("blocks = 1").agg(F.ceil(F.sum("n") / (2 * BLOCK))).first()[0] or 1
-    met = members.select("key", "uid").join(blocks.select("key", "blocks"), "key").withColumn("own", F.pmod(F.xxhash64("uid"), "blocks"))
-    met = met.select("key", "uid", "blocks", "own", F.explode(F.expr("sequence(0L, blocks - 1)")).alias("other"))
-    alone = F.col("blocks") == 1
-    unit = F.when(alone, F.pmod(F.xxhash64("key"), F.lit(units))).otherwise(F.col("key")).alias("unit")
-    i, j = (F.when(alone, F.lit(-1)).otherwise(f("own", "other")).alias(n) for n, f in (("i", F.least), ("j", F.greatest)))
-
-    def compare(table: pa.Table) -> pa.Table:
-        uid, key = table["uid"].to_numpy(), np.unique(table["key"].to_numpy(), return_inverse=True)[1]
-        runs = list(char_sets(table["line"].combine_chunks(), SHINGLE))
-        flat, sizes = np.concatenate([r[0] for r in runs]), np.concatenate([r[1] for r in runs])
-        flat = mix(flat + np.repeat(key.astype(np.uint64) << np.uint64(52), sizes))  # lines of different keys have nothing in common
-        found = similar(flat, sizes, np.arange(len(uid)), np.arange(len(uid)), similarity)
-        return pa.table({"a": pa.array([int(uid[i]) for i, _ in found], pa.int64()), "b": pa.array([int(uid[j]) for _, j in found], pa.int64())})
-
-    return met.select("key", "uid", unit, i, j).join(texts.select("uid", "line"), "uid").groupBy("unit", "i", "j").applyInArrow(compare, "a bigint, b bigint")
+    pairs = shared.where("c = 2").select("head", F.col("last").alias("uid"))
+    first = pairs.unionByName(held.where("uid <> head").select("head", "uid")).groupBy("head", "uid").agg(F.lit(0).alias("round"))
+    first = materialize(first.select(F.col("head").alias("a"), F.col("uid").alias("b")), "line-first")
+    members = first.select(F.explode(F.array("a", "b")).alias("uid")).groupBy("uid").agg(F.lit(0).alias("round")).select("uid")
+    texts = materialize(texts_of(members), "line-texts")
+    marks = materialize(marked(texts), "line-marks")
+    links, few = materialize(alike(first, texts, marks, similarity), "line-links"), 0
+    while True:
+        roots = connected_components(links, "lines-cc")
+        rooted = held.select("band", "uid").join(roots, F.col("uid") == F.col("node"), "left").select("band", "uid", F.coalesce("root", "uid").alias("root"))
+        head = F.min(F.struct(F.xxhash64(F.lit(few), "uid").alias("h"), "uid", "root"))
+        bands = rooted.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("c"), head.alias("head")).where("low < high")
+        # lines of bands that aren't connected yet
+        left = materialize(rooted.join(bands.select("band", "c", F.col("head.uid").alias("head"), F.col("head.root").alias("at")), "band"), "line-open")
+        if not left.take(1):
+            return roots
+        few += 1
+        tried = left.where("root <> at").select(F.least("uid", "head").alias("a"), F.greatest("uid", "head").alias("b")).distinct() if few <= FEW else None
+        if tried is None:
+            break
+        tried = materialize(tried, "line-tried")
+        found = materialize(alike(tried, texts, marks, similarity), "line-links")
+        links = materialize(links.unionByName(found), "line-links")
+        if 10 * found.count() < tried.count():
+            break
+    found = materialize(alike(apart(left, marks, similarity), texts, marks, similarity), "line-links")
+    return connected_components(links.unionByName(found), "lines-cc")
+
+
+def marked(texts: DataFrame) -> DataFrame:
+    """``uid, n`` (shingles, repeats included) and the bitmap of all shingles, as longs ``w0, w1, ..``."""
+    bits = [F.expr(f"bit_or(case when (h & {MARKS - 1}) = {w} then shiftleft(1L, cast((h >> 8) & 63 as int)) else 0L end)").alias(f"w{w}") for w in range(MARKS)]
+    return _exploded(texts.select("uid", *_coded()), "uid").groupBy("uid").agg(F.count(F.lit(1)).alias("n"), *bits)
+
+
+def _near(similarity: float) -> str:
+    """Whether sets may be so similar, by their bitmaps (``w0..``, ``v0..``) and sizes (``n``, ``m``; repeats only make it more tolerant)."""
+    bits = " + ".join(f"bit_count(w{w} ^ v{w})" for w in range(MARKS))
+    return f"{1 + similarity!r}D * ({bits}) <= {1 - similarity!r}D * (n + m) + 1e-6D"
+
+
+def _other(marks: DataFrame) -> DataFrame:
+    return marks.withColumnsRenamed({"n": "m"} | {f"w{w}": f"v{w}" for w in range(MARKS)})
+
+
+def alike(pairs: DataFrame, texts: DataFrame, marks: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Those of ``pairs(a, b)`` that are as similar as asked, exactly."""
+    near = pairs.join(marks.withColumnRenamed("uid", "a"), "a").join(_other(marks).withColumnRenamed("uid", "b"), "b").where(_near(similarity)).select("a", "b")
+    left, right = (texts.select(F.col("uid").alias(k), F.col("line").alias(f"line_{k}")) for k in "ab")
+    sets = f"array(named_struct('p', {_hashes('line_a')}, 'q', {_hashes('line_b')}))"
+    similar = f"exists({sets}, x -> size(array_intersect(x.p, x.q)) >= {similarity!r}D * size(array_union(x.p, x.q)) - 1e-9D)"
+    return near.join(left, "a").join(right, "b").where(similar).select("a", "b")
+
+
+def apart(left: DataFrame, marks: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """``a, b``: all pairs of a band whose roots differ and whose bitmaps allow the similarity. ``left`` has ``band, uid, root, c`` (lines of the band)."""
+    side = max(1, int(BLOCK**0.5))
+    met = left.select("band", "uid", "root", F.ceil(F.col("c") / side).alias("blocks")).withColumn("own", F.pmod(F.xxhash64("uid"), "blocks")).join(marks, "uid")
+    one = met.select("*", F.explode(F.expr("sequence(own, blocks - 1)")).alias("to")).withColumnRenamed("own", "i").withColumnRenamed("to", "j").drop("blocks").withColumnRenamed("uid", "a")
+    two = _other(met).select("*", F.explode(F.expr("sequence(0L, own)")).alias("from")).withColumnRenamed("from", "i").withColumnRenamed("own", "j").drop("blocks")
+    two = two.withColumnRenamed("uid", "b").withColumnRenamed("root", "root_b")
+    found = one.join(two, ["band", "i", "j"]).where("root <> root_b and (i < j or a < b)").where(_near(similarity))
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _line_texts(wanted: DataFrame, hashed: DataFrame) -> DataFrame:
     """``uid, line`` for ``wanted(uid, h1, h2)``: lines whose hash may be wanted are met by it."""
-    bitmap = _bitmap(wanted, "h1")
-
-    @F.arrow_udf("boolean")
-    def maybe(h: pa.Array) -> pa.Array:
-        return pa.array(_set(bitmap, h.to_numpy()))
-
-    some = hashed.select("h1", "h2", "line").where(maybe("h1"))
+    some = _maybe(hashed.select("h1", "h2", "line"), "h1", _bitmap(wanted, "h1"))
     return some.join(wanted, ["h1", "h2"]).groupBy("uid").agg(F.first("line").alias("line"))
 
 
